@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, sharding, warc
+from . import bpe, decontam, egojoin, langid, sharding, warc
 from .common import scratch_path, table
 
 
@@ -17,6 +17,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, digest=True)
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.similar_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -52,6 +56,6 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_warc, op6_decontamination, op7_sharding, op8_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_embedding_neardup, op3_warc, op6_decontamination, op7_sharding, op8_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
