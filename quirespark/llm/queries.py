@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, egojoin, langid, sharding, warc
+from . import bpe, decontam, egojoin, langid, probminhash, sharding, warc
 from .common import scratch_path, table
 
 
@@ -56,6 +56,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_embedding_neardup, op3_warc, op6_decontamination, op7_sharding, op8_language_id)}
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_embedding_neardup, op3_warc, op6_decontamination, op7_sharding, op8_language_id, op10_minhash_neardup)}
 
 ORACLE_SQL: dict[str, str] = {}
