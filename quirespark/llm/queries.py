@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, egojoin, langid, licenses, linededup, probminhash, sharding, warc
+from . import bpe, decontam, egojoin, langid, licenses, linededup, probminhash, repeats, sharding, warc
 from .common import scratch_path, table
 
 
@@ -65,10 +65,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_embedding_neardup, op3_warc, op4_line_dedup, op5_license_scan, op6_decontamination, op7_sharding, op8_language_id, op10_minhash_neardup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_embedding_neardup, op3_warc, op4_line_dedup, op5_license_scan, op6_decontamination, op7_sharding, op8_language_id, op9_repeated_strings, op10_minhash_neardup)}
 
 ORACLE_SQL: dict[str, str] = {}
