@@ -2,9 +2,10 @@
 
 In each round every bucket has a pivot; the other members are compared with it, and what has been found is contracted to
 components. The pivot has then been compared with its whole bucket and leaves it, and so do buckets whose members are all in
-one component. When so few pairs of different components are left that they are no more than PAIRS_PER_MEMBER times the
-members, they are compared as they are; with more, the rounds go on. No pair of a bucket is given up: it is compared, or its
-two members are known to be connected. Each round's work is in proportion to the members.
+one component. A round's work is in proportion to the members, and the first finds most of what copies of one text
+share. What is left after ROUNDS are members of different components that share a bucket by chance or are similar, but not
+enough; `finish` rules on those, in blocks or by a condition inside a join, and gives rows for links only. No pair of a
+bucket is given up: it is compared, or its two members are known to be connected.
 """
 
 from __future__ import annotations
@@ -18,41 +19,33 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import connected_components
 
-PAIRS_PER_MEMBER = 8
-FEW_PAIRS = 20_000
+ROUNDS = 1
 
 
-def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    return rows.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
-
-
-def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """members: bucket, node (no row twice). verify keeps of pairs u, v those that are links.
+def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """members: bucket, node (no row twice). verify keeps of pairs u, v those that are links; finish makes links u, v from
+    rows bucket, node, root, size (of the bucket), between members of a bucket with different roots.
 
     Returns the links found (enough to connect all that any link within a bucket connects) and the components of
     connected_components() over them; both empty if there are none.
     """
     found: list[DataFrame] = []
     rest = members
-    n = 0
-    while True:
-        place = F.struct(F.xxhash64("node", F.lit(n)).alias("at"), F.col("node"))  # noqa: B023
+    for n in range(rounds):
+        place = F.struct(F.xxhash64("node", F.lit(n)).alias("at"), F.col("node"))
         pivots = rest.groupBy("bucket").agg(F.min(place)["node"].alias("pivot"), F.count("*").alias("size")).where("size > 1")
         around = materialize(rest.join(pivots.select("bucket", "pivot"), "bucket").where("node <> pivot"), "around")
-        found.append(materialize(verify(_pairs(around, "node", "pivot")), "links"))
-        links = reduce(DataFrame.unionByName, found)
-        components = connected_components(links)
+        pairs = around.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+        found.append(materialize(verify(pairs), "links"))
+        components = connected_components(reduce(DataFrame.unionByName, found))
         rooted = around.select("bucket", "node").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = materialize(rooted, "rooted")
-        sizes = rooted.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("size"), F.sum(F.col("count") * F.col("count")).alias("within"), F.count("*").alias("roots")).where("roots > 1")
-        left = sizes.agg(F.sum("size").alias("size"), F.sum((F.col("size") * F.col("size") - F.col("within")) / 2).alias("pairs")).first()
-        if not left["size"]:
-            return links, components
-        rest = materialize(rooted.join(sizes.select("bucket"), "bucket", "left_semi"), "rest")
-        if left["pairs"] <= max(FEW_PAIRS, PAIRS_PER_MEMBER * left["size"]):
-            other = rest.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            found.append(materialize(verify(_pairs(rest.join(other, "bucket").where("root < other_root"), "node", "other")), "links"))
-            links = reduce(DataFrame.unionByName, found)
-            return links, connected_components(links)
-        rest = rest.select("bucket", "node")
-        n += 1
+        sizes = rooted.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket", "size")
+        rest = materialize(rooted.join(sizes, "bucket"), "rest")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, found), components
+        if n + 1 < rounds:
+            rest = rest.select("bucket", "node")
+    found.append(materialize(finish(rest), "links"))
+    links = reduce(DataFrame.unionByName, found)
+    return links, connected_components(links)
