@@ -11,7 +11,7 @@ Long texts are keyed by their SHA-256, so that a copy costs nothing more and rep
 chunks have no boundary in common (one pre-token longer than the overlap), the text is encoded as one piece.
 
 Defined cases: a null text is the empty text and has no ids; repeated rows each get their ids; an empty table gives an
-empty result; other columns stay as they are (an existing column `ids`, `decoded` is replaced).
+empty result; other columns stay as they are, but for any with the name of a column that is added, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import fresh, small_batches, without
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: A pre-token boundary is certain if so many characters follow it in the chunk: the pattern looks no further ahead.
 LOOKAHEAD = 4
+DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
 #: Runs longer than this are merged here and not by the library, whose matcher may run out of stack on them.
 LONG_RUN = 2_048
 _LONG = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
@@ -203,23 +204,24 @@ def encode(docs: DataFrame, vocabulary, text_col: str = "text", chunk_chars: int
     if not LOOKAHEAD < overlap_chars <= chunk_chars:
         raise ValueError("the overlap must be larger than the pattern's lookahead and not larger than a chunk")
     small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c not in (text_col, "ids")]
+    others = without(docs.columns, [text_col, "ids", *DIGESTS * digest])
+    key = fresh("long_text_sha", [*others, text_col])
     rows = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     is_long = F.char_length(text_col) > chunk_chars
     short = _encode_text(rows.where(~is_long), text_col, vocabulary)
-    long_rows = rows.where(is_long).withColumn("long_text_sha", F.sha2(F.col(text_col).cast("binary"), 256))
-    distinct = long_rows.select(F.col("long_text_sha").alias("sha"), F.col(text_col).alias("text")).dropDuplicates(["sha"])
+    long_rows = rows.where(is_long).withColumn(key, F.sha2(F.col(text_col).cast("binary"), 256))
+    distinct = long_rows.select(F.col(key).alias("sha"), F.col(text_col).alias("text")).dropDuplicates(["sha"])
     ids = encode_long(distinct, vocabulary, chunk_chars, overlap_chars)
     if digest:
         short, ids = digest_ids(short, vocabulary), digest_ids(ids, vocabulary)
-    long = long_rows.drop(text_col).join(ids.withColumnRenamed("sha", "long_text_sha"), "long_text_sha").drop("long_text_sha")
+    long = long_rows.drop(text_col).join(ids.withColumnRenamed("sha", key), key).drop(key)
     return short.unionByName(long)
 
 
 def decode(encoded: DataFrame, vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add out_col binary: the bytes of the ids, end to end. Null ids have no bytes."""
     small_batches(encoded.sparkSession)
-    others = [c for c in encoded.columns if c != out_col]
+    others = without(encoded.columns, [out_col])
     schema = T.StructType([encoded.schema[c] for c in others] + [T.StructField(out_col, T.BinaryType())])
     at = others.index(ids_col)
 

@@ -23,6 +23,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
 
 
+def without(columns: list[str], added: list[str]) -> list[str]:
+    """The columns that an operator passes on: not those whose names it gives anew."""
+    taken = {c.lower() for c in added}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A name for a helper column that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; only a local session may lack it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)

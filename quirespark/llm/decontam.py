@@ -7,8 +7,8 @@ words that it covers, and those are mapped back to characters of the original te
 
 Defined cases: a null text or item has no words; an item without words or without text is never found; a null item id
 is reported as the empty string; windows that several items share count for each of them; repeated rows are each
-judged; empty tables give no windows or no rows; other columns of docs are kept, so a name that this operator adds
-(n_words, n_hit, items, spans) must not be among the kept ones: pass keep= to choose.
+judged; empty tables give no windows or no rows; other columns of docs are kept, but for any
+named n_words, n_hit, items, spans or runs, which are replaced or left out; keep= chooses among them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import fresh, small_batches, without
 
 WINDOW = 10
 #: Windows in one automaton; a larger benchmark is scanned in as many passes as it needs.
@@ -122,7 +122,7 @@ def _scan(docs: DataFrame, windows: list[tuple[bytes, list[str]]], keep: list[st
     """One pass. docs: keep, the text's bytes, and if again the items and runs of the passes before."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)  # at most MAX_WINDOWS windows
     run = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    schema = T.StructType([docs.schema[c] for c in keep] + [docs.schema["scanned_text"], *_FOUND.fields[2:], T.StructField("runs", _FOUND["spans"].dataType), *_FOUND.fields[:2]])
+    schema = T.StructType([docs.schema[c] for c in keep] + [docs.schema[docs.columns[len(keep)]], *_FOUND.fields[2:], T.StructField("runs", _FOUND["spans"].dataType), *_FOUND.fields[:2]])
     n = len(keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +155,16 @@ def decontaminate(
 ) -> DataFrame:
     """Add n_words, n_hit, items (ids found, sorted) and spans (hit passages, half-open, in characters of text_col)."""
     small_batches(docs.sparkSession)
-    keep = list(docs.columns if keep is None else keep)
+    keep = without(docs.columns if keep is None else keep, [*_FOUND.names, "runs"])
+    raw = fresh("scanned_text", keep)
     windows = benchmark_windows(benchmark, size)
     passes = -(-windows.count() // max_windows)
     # Too many windows for one automaton: a pass for each bounded slice of them.
     slices = 1 if passes <= 1 else 2 * passes
-    out = docs.select(*keep, F.col(text_col).cast("binary").alias("scanned_text"))
+    out = docs.select(*keep, F.col(text_col).cast("binary").alias(raw))
     for i in range(slices):
         rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(slices)) == i).orderBy("window").collect()
         out = _scan(out, [(bytes(r["window"]), list(r["items"])) for r in rows], keep, again=i > 0)
         if i + 1 < slices:
-            out = out.select(*keep, "scanned_text", "items", "runs")
+            out = out.select(*keep, raw, "items", "runs")
     return out.select(*keep, *_FOUND.names)

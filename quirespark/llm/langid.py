@@ -14,8 +14,8 @@ Scoring looks up the code length of (context, byte) for all languages at once, i
 derived from the trees and hold a gram if any language has seen it.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled text every prediction
-is `und`; repeated rows get the same prediction; empty tables give empty results; the columns in keep are passed on, of
-which lang_pred, score and bits_per_byte must not be one.
+is `und`; repeated rows get the same prediction; empty tables give empty results; the columns in keep are passed on, but
+for any named lang_pred, score or bits_per_byte, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import fresh, small_batches, without
 
 ORDER = 4
 SAMPLE_BYTES = 1 << 20
@@ -104,7 +104,7 @@ class Model:
         joined = [_joined([t for t in samples[name] if t]) for name in self.languages]
         shorter = np.full((1, len(joined)), 8.0)
         shorter_keys = np.zeros(1, np.uint64)
-        for d in range(order + 1):
+        for d in range(order + 1 if joined else 0):
             counted = []
             for data, place, _ in joined:
                 grams, n = np.unique(_codes(data, d + 1)[place >= d], return_counts=True)
@@ -207,7 +207,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add lang_pred, score and bits_per_byte to the columns in keep (all of them if None)."""
     small_batches(docs.sparkSession)
-    keep = list(docs.columns if keep is None else keep)
+    keep = without(docs.columns if keep is None else keep, ["lang_pred", "score", "bits_per_byte"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages x sample_bytes
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
     schema = T.StructType([docs.schema[c] for c in keep] + fields)
@@ -220,7 +220,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=schema.names)
 
-    return docs.select(*keep, scored.alias("scored_text")).mapInArrow(predict, schema)
+    return docs.select(*keep, scored.alias(fresh("scored_text", keep))).mapInArrow(predict, schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
