@@ -3,7 +3,7 @@
 Writing: of rows with equal payloads the one with the largest id becomes a `response` record and the others `revisit`
 records that refer to it. A response's block is an HTTP response with chunked transfer framing; a block beyond
 segment_bytes is cut into a first record and `continuation` records, which name the first by WARC-Segment-Origin-ID.
-Files are written by Spark's text sink, which puts bytes through unchanged, into a folder that all executors share.
+Files are written by Spark's text sink, which puts bytes through unchanged, gzipped, into a folder that all executors share.
 
 Reading: each file is split into records by Content-Length. Records of one segment are decoded where they are read;
 segments are grouped by origin identifier, put in order of their number and joined, the total length, the numbers and
@@ -11,8 +11,8 @@ the block digests are verified, and then the chunked framing is decoded and the
 gets length and digest from the response that it refers to.
 
 Defined cases: a null payload is the empty payload, of which all but one row are revisits too; a null id is smaller
-than any other and comes back as null; of rows that repeat, id and payload, one is the response and the others are
-revisits that refer to the same id; a null or odd URL is left out or percent-encoded; an empty table gives archives
+than any other and comes back as null; rows that repeat, id and payload, are copies of one record, all of
+its type and with its record id; a null or odd URL is left out or percent-encoded; an empty table gives archives
 without records and an empty result; other columns are ignored. A record whose segments are missing, repeated or
 damaged is returned with valid = false and a null payload.
 """
@@ -20,6 +20,7 @@ damaged is returned with valid = false and a null payload.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -50,8 +51,9 @@ def _record(kind: str, record_id: str, fields: list[tuple[str, str | None]], blo
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in lines if v is not None) + b"\r\n" + block + b"\r\n\r\n"
 
 
-def record_id(row_id: str | None, at: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{row_id} {at}')}>"
+def record_id(row_id: str | None, sha: str) -> str:
+    """By id and payload, so that a revisit can name its response without looking it up."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{row_id} {sha}')}>"
 
 
 def frame_chunks(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -82,8 +84,8 @@ def unframe_chunks(body: bytes) -> bytes | None:
             return None
 
 
-def response_records(row_id: str | None, at: int, uri: str | None, payload: bytes, segment_bytes: int) -> list[bytes]:
-    own, block = record_id(row_id, at), _HTTP + frame_chunks(payload)
+def response_records(row_id: str | None, sha: str, uri: str | None, payload: bytes, segment_bytes: int) -> list[bytes]:
+    own, block = record_id(row_id, sha), _HTTP + frame_chunks(payload)
     http = ("Content-Type", "application/http; msgtype=response")
     fields = [("WARC-Target-URI", uri), (_ID, row_id), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), http]
     cuts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
@@ -96,42 +98,46 @@ def response_records(row_id: str | None, at: int, uri: str | None, payload: byte
     return out
 
 
-def revisit_record(row_id: str | None, at: int, uri: str | None, payload: bytes, of_id: str | None, of_at: int) -> bytes:
-    fields = [("WARC-Target-URI", uri), (_ID, row_id), ("WARC-Refers-To", record_id(of_id, of_at)), ("WARC-Profile", _PROFILE), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
-    return _record("revisit", record_id(row_id, at), fields, b"")
+def revisit_record(row_id: str | None, sha: str, uri: str | None, payload: bytes, of_id: str | None) -> bytes:
+    fields = [("WARC-Target-URI", uri), (_ID, row_id), ("WARC-Refers-To", record_id(of_id, sha)), ("WARC-Profile", _PROFILE), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+    return _record("revisit", record_id(row_id, sha), fields, b"")
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Write the rows of pages as WARC records below path."""
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = SEGMENT_BYTES, compression: str = "gzip") -> None:
+    """Write the rows of pages as WARC records below path; compression: gzip or none."""
     small_batches(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).alias("id"),
         F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7F]", "%20").alias("uri"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
-        F.monotonically_increasing_id().alias("at"),
     ).withColumn("sha", F.sha1("payload"))
     # One narrow row a row; partial maxima meet per payload, so a payload that many rows share is no load.
-    chosen = rows.groupBy("sha").agg(F.max(F.struct("id", "at")).alias("of"))
+    chosen = rows.groupBy("sha").agg(F.max("id").alias("of"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
-            for row_id, uri, payload, at, of_id, of_at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at == of_at:
-                    out += response_records(row_id, at, uri, payload, segment_bytes)
+            for row_id, uri, payload, sha, of_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row_id == of_id:
+                    out += response_records(row_id, sha, uri, payload, segment_bytes)
                 else:
-                    out.append(revisit_record(row_id, at, uri, payload, of_id, of_at))
+                    out.append(revisit_record(row_id, sha, uri, payload, of_id))
             yield pa.RecordBatch.from_arrays([pa.array([r[:-1] for r in out], pa.binary())], ["record"])
 
-    joined = rows.join(chosen, "sha").select(F.col("id").cast("string"), "uri", "payload", "at", F.col("of.id").cast("string").alias("of_id"), F.col("of.at").alias("of_at"))
+    joined = rows.join(chosen, "sha").select(F.col("id").cast("string"), "uri", "payload", "sha", F.col("of").cast("string").alias("of_id"))
     records = joined.mapInArrow(build, "record binary")
     # The sink ends each row with the line feed that was taken off the record's end.
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.select(F.col("record").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 
 
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
+def plain(data: bytes) -> bytes:
+    """An archive's bytes, decompressed if it is gzipped, as a whole or record by record."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields (names in lower case) and block of each record of an archive."""
     at = 0
@@ -194,7 +200,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
         for batch in batches:
             for data in batch.column(0):
                 rows: list[tuple] = []
-                for f, block in split_records(data.as_py()):
+                for f, block in split_records(plain(data.as_py())):
                     rows.append(row(f, block))
                     if len(rows) >= 500:
                         yield _batch(rows, schema)
@@ -208,12 +214,15 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
 def assemble(parts: list[dict], with_payload: bool) -> list[tuple]:
     """The records of one identifier: each head is one row; the segments must be 1 to n, once each, sound and whole."""
     out = [tuple(p[k] for k in ("type", "id", "uri", "refers_to", "payload", "payload_bytes", "payload_digest", "valid")) for p in parts if p["segment"] is None]
-    segments = sorted((p for p in parts if p["segment"] is not None), key=lambda p: p["segment"])
+    segments = sorted((p for p in parts if p["segment"] is not None), key=lambda p: (p["segment"], p["block"]))
     if segments:
-        head = segments[0]
-        block = b"".join(p["block"] for p in segments)
-        sound = [p["segment"] for p in segments] == list(range(1, len(segments) + 1)) and all(p["block_ok"] for p in segments) and segments[-1]["total_length"] == len(block)
-        out.append((head["type"] if head["segment"] == 1 else None, head["id"], head["uri"], head["refers_to"], *_entity(block, sound, head["want"], with_payload)))
+        heads = [p for p in segments if p["segment"] == 1]
+        one = segments[:: max(1, len(heads))]  # a record that was written several times is there as often
+        copies = all((p["segment"], p["block"]) == (q["segment"], q["block"]) for p, q in zip(segments, [x for x in one for _ in range(max(1, len(heads)))], strict=False))
+        block = b"".join(p["block"] for p in one)
+        whole = [p["segment"] for p in one] == list(range(1, len(one) + 1)) and len(one) * len(heads) == len(segments) and one[-1]["total_length"] == len(block)
+        entity = _entity(block, whole and copies and all(p["block_ok"] for p in segments), segments[0]["want"], with_payload)
+        out += [(p["type"], p["id"], p["uri"], p["refers_to"], *entity) for p in heads or [{**segments[0], "type": None}]]
     return out
 
 
@@ -231,7 +240,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     decoded = materialize(grouped.mapInArrow(join, _RESULT), "warc-records")
     responses = decoded.where("type = 'response' or type is null")
-    targets = responses.select(F.col("record_id").alias("refers_to"), F.col("id").alias("of_id"), F.col("payload").alias("of_payload"), F.col("payload_bytes").alias("of_bytes"), F.col("valid").alias("of_valid"))
+    targets = responses.select(F.col("record_id").alias("refers_to"), F.col("id").alias("of_id"), F.col("payload").alias("of_payload"), F.col("payload_bytes").alias("of_bytes"), F.col("valid").alias("of_valid")).dropDuplicates(["refers_to"])
     revisits = (
         decoded.where("type = 'revisit'")
         .join(targets, "refers_to", "left")

@@ -8,7 +8,7 @@ from quirespark.llm.common import scratch_path
 
 PAGES = [
     (1, "http://a.example/x y", "short"), (2, "http://b.example/", "short"), (9, None, "short"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 40_000),
-    (6, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n0\r\n\r\n"), (None, "u", "unnamed"), (7, "u", "x" * 16_384), (8, "u", "tie"), (8, "u", "tie"), (10, "u", "é" * 40_000),
+    (6, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n0\r\n\r\n"), (None, "u", "unnamed"), (7, "u", "x" * 16_384), (8, "u", "tie"), (8, "u", "tie"), (10, "u", "é" * 40_000), *[(11, f"u{i}", "k" * 3_000) for i in range(3)],
 ]
 
 
@@ -28,7 +28,7 @@ def test_round_trip(spark, compression):
     assert sorted(kinds) == sorted({p[2] or "" for p in PAGES})
     assert sorted(kinds["short"]) == [("response", "9", None), ("revisit", "1", "9"), ("revisit", "2", "9")]
     assert sorted(kinds[""]) == [("response", "4", None), ("revisit", "3", "4")]
-    assert sorted(kinds["tie"]) == [("response", "8", None), ("revisit", "8", "8")]
+    assert sorted(kinds["tie"]) == [("response", "8", None)] * 2 and kinds["k" * 3_000] == [("response", "11", None)] * 3
     assert sorted(kinds["é" * 40_000]) == [("response", "10", None), ("revisit", "5", "10")]
     assert kinds["unnamed"] == [("response", None, None)]
     assert warc.read_records(spark, path).where("segment > 1").count() > 80
