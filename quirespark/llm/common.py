@@ -61,6 +61,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Nodes of a plan that read rows or work on each by itself.
+_ROW_BY_ROW = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Scan", "SerializeFromObject", "ExternalRDD", "RelationV2"}
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df if it only reads and projects, so that its rows keep their places whenever it is read; else a written copy."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    names = {line.lstrip(" +-:").split(" ")[0].split("[")[0] for line in lines if line.strip()}
+    return df if names <= _ROW_BY_ROW else materialize(df, "input")
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, stable
 
 LENGTH = 400
 GRAM = 48
@@ -233,6 +233,7 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """id_col, n_bytes, n_removed, spans (removed runs of bytes, half-open, maximal) and kept (the remaining bytes)."""
     small_batches(docs.sparkSession)
+    docs = stable(docs)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
     gone = find_repeats(texts, length, gram, hot).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))  # of one text
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
