@@ -1,11 +1,12 @@
 """Links between the members of buckets without forming all pairs of a bucket.
 
-In each round every bucket has a pivot; the other members are compared with it, and what has been found is contracted to
-components. The pivot has then been compared with its whole bucket and leaves it, and so do buckets whose members are all in
-one component. A round's work is in proportion to the members, and the first finds most of what copies of one text
-share. What is left after ROUNDS are members of different components that share a bucket by chance or are similar, but not
-enough; `finish` rules on those, in blocks or by a condition inside a join, and gives rows for links only. No pair of a
-bucket is given up: it is compared, or its two members are known to be connected.
+In each round every bucket has a pivot, the member that meets most others in all its buckets; the others are compared
+with it, and what has been found is contracted to components. The pivot has then been compared with its whole bucket and
+leaves it, and so do buckets whose members are all in one component. A round's work is in proportion to the members, and
+the first finds most of what copies of one text share. What is left after ROUNDS are members of different components that
+share a bucket by chance or are similar, but not enough; `finish` rules on those, in blocks or by a condition inside a
+join, and gives rows for links only. No pair of a bucket is given up: it is compared, or its two members are known to be
+connected.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], f
     found: list[DataFrame] = []
     rest = members
     for n in range(rounds):
-        place = F.struct(F.xxhash64("node", F.lit(n)).alias("at"), F.col("node"))
-        pivots = rest.groupBy("bucket").agg(F.min(place)["node"].alias("pivot"), F.count("*").alias("size")).where("size > 1")
-        around = materialize(rest.join(pivots.select("bucket", "pivot"), "bucket").where("node <> pivot"), "around")
+        sizes = rest.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        sized = materialize(rest.join(sizes, "bucket").select("bucket", "node", "size"), "sized")
+        # A node that meets many in its buckets is likely to be what those are copies of.
+        weights = sized.groupBy("node").agg(F.sum("size").alias("weight"))
+        pivots = sized.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
+        around = materialize(sized.join(pivots, "bucket").where("node <> pivot").select("bucket", "node", "pivot"), "around")
         pairs = around.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
         found.append(materialize(verify(pairs), "links"))
         components = connected_components(reduce(DataFrame.unionByName, found))

@@ -33,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import fresh, materialize, small_batches, stable
 from .components import smallest_member
 from .linkage import link_members
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
+#: Texts in a block, and shingles that are compared at a time.
+BLOCK = 256
+COLUMNS = 1 << 14
 
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -167,6 +170,74 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(verify, "u binary, v binary")
 
 
+def block_links(sets: list[tuple[np.ndarray, np.ndarray]], roots: list, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (indexes) between a left and a right text of different roots, of which none connects what others have."""
+    roots_number = np.unique(np.array(roots, dtype=object), return_inverse=True)[1]
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
+    known, columns = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True)
+    weight = np.concatenate([w for _, w in sets]).astype(np.float32)
+    total = np.array([w.sum() for _, w in sets], np.float32)
+    share = weight / total[rows]
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    both, of_a, of_b = (np.zeros((len(a), len(b)), np.float32) for _ in range(3))
+    order = np.argsort(columns, kind="stable")
+    rows, columns, share = rows[order], columns[order], share[order]
+    for start in range(0, len(known), COLUMNS):
+        i, j = np.searchsorted(columns, (start, start + COLUMNS))
+        width = min(COLUMNS, len(known) - start)
+        has, part = np.zeros((len(sets), width), np.float32), np.zeros((len(sets), width), np.float32)
+        has[rows[i:j], columns[i:j] - start] = 1
+        part[rows[i:j], columns[i:j] - start] = share[i:j]
+        both += has[a] @ has[b].T
+        of_a += part[a] @ has[b].T
+        of_b += has[a] @ part[b].T
+    size = np.array([len(s) for s, _ in sets], np.float32)
+    plain = total == size
+    exact = plain[a][:, None] & plain[b][None, :]
+    jaccard = both / (size[a][:, None] + size[b][None, :] - both)
+    # A term of the similarity is at most the lesser of the two shares, so the sums bound it.
+    maybe = np.where(exact, jaccard >= threshold - 1e-5, np.minimum(of_a, of_b) >= threshold - 1e-4)
+    maybe &= roots_number[a][:, None] != roots_number[b][None, :]
+    out = []
+    for x, y in np.argwhere(maybe):
+        i, j = a[x], b[y]
+        if roots_number[i] != roots_number[j] and similarity(sets[i], sets[j]) >= threshold:
+            out.append((int(i), int(j)))
+            roots_number[roots_number == roots_number[j]] = roots_number[i]
+    return out
+
+
+def _finish(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Compare what pivots have left, block by block: a bucket's members are dealt to blocks of about BLOCK, and a task
+    gets two blocks at a time. Links leave it, not pairs."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rest.select("bucket", "node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(sets, "node")
+    rows = rows.select("bucket", "i", "j", "own", "node", "root", "shingles", "weights")
+    grouped = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            _, i, j, own, nodes, roots, shingles, weights = zip(*held, strict=True)
+            held.clear()
+            place = np.array(own)
+            found = block_links([(np.frombuffer(s, np.uint64), np.frombuffer(w, np.int32)) for s, w in zip(shingles, weights, strict=True)], list(roots), place == i[0], place == j[0], threshold)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield done()
+                held.append(row)
+        if held:
+            yield done()
+
+    return grouped.mapInArrow(compare, "u binary, v binary").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -178,6 +249,7 @@ def near_duplicates(
 ) -> DataFrame:
     """row (the row's place in the scan), id_col, class_id (the class's smallest id), kept (one row of each class)."""
     small_batches(docs.sparkSession)
+    docs = stable(docs)
     text = F.col(text_col).cast("binary")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("sha"), text.alias("raw"))
     sketched = materialize(_sketches(texts, size, bands, rows), "sketches")
@@ -190,7 +262,8 @@ def near_duplicates(
     read = docs.select(F.unhex(F.md5(text)).alias("sha"), text.alias("raw")).where("raw is not null").dropDuplicates(["sha"])
     sets = materialize(_shingle_table(read.join(wanted, "sha", "left_semi").select("raw"), size), "shingles")
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"), F.col("weights").alias(f"w{s}"))
-    _, found = link_members(members, lambda pairs: _verified(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "su", "wu", "sv", "wv"), threshold))
+    verify = lambda pairs: _verified(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "su", "wu", "sv", "wv"), threshold)
+    _, found = link_members(members, verify, lambda rest: _finish(rest, sets, threshold))
     rooted = nodes.select("node", "of").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = materialize(smallest_member(rooted, "of").select("node", F.col("of_least").alias("first")), "classes")
     with_words = sketched.where("node is not null").select("row", "id", "node").join(classes, "node").select("row", "id", F.col("first.id").alias("class_id"), (F.col("row") == F.col("first.row")).alias("kept"))
@@ -199,6 +272,8 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each class, that with the smallest id. docs must be a scan, whose rows keep their places."""
-    stay = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("row").alias("kept_row"))
-    return docs.withColumn("kept_row", F.monotonically_increasing_id()).join(stay, "kept_row", "left_semi").select(*docs.columns)
+    """docs with one document of each class, that with the smallest id."""
+    docs = stable(docs)
+    row = fresh("kept_row", docs.columns)
+    stay = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(stay, row, "left_semi").select(*docs.columns)
