@@ -469,7 +469,7 @@ def best_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SCORED}, p AS (SELECT file, v, count(*) OVER (PARTITION BY file) AS n, row_number() OVER (PARTITION BY file ORDER BY v) - 1 AS k FROM scored WHERE label)
-SELECT file, v AS cut FROM p WHERE k = least(n - 1, trunc((1 - 0.9) * n)::BIGINT)""")
+SELECT file, v AS cut FROM p WHERE k = least(n - 1, trunc({1 - 0.9!r}::DOUBLE * n)::BIGINT)""")
 def recall_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall_cut(_scored(spark, sf_dir), ["file"], 0.9)
 
