@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, glyphs, headers, pages, profiles
+from ..operators import evaluate, glyphs, headers, pages, paragraphs, profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,6 +264,31 @@ def note_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.multiset_overlap(table(spark, sf_dir, "documents").select("source", w), table(spark, sf_dir, "benchmark").select(w), ["source"], "w")
 
 
+_BREAKS = r"""
+l AS (SELECT doc_id AS doc, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),
+g AS (SELECT *, 100.0::DOUBLE + 12 * line AS base, CASE WHEN line % 4 = 1 THEN 60.0 ELSE 50.0 END::DOUBLE AS x0, 50.0::DOUBLE + 5 * length(text) AS x1, CASE WHEN length(text) < 30 THEN 14.0 ELSE 10.0 END::DOUBLE AS size, line % 5 = 0 AS bold, line % 12 = 0 AS col_start FROM l),
+c AS (SELECT *, sum(col_start::INT) OVER (PARTITION BY doc ORDER BY line) AS col, size >= 11.5 AND len(string_split_regex(trim(text), '\s+')) <= 25 AS heading FROM g),
+e AS (SELECT *, min(x0) OVER (PARTITION BY doc, col) AS lft, max(x1) OVER (PARTITION BY doc, col) AS rgt FROM c),
+p AS (SELECT *, lag(text) OVER w AS pt, lag(heading) OVER w AS ph, lag(base) OVER w AS pb, lag(size) OVER w AS ps, lag(bold) OVER w AS pbold, lag(x0) OVER w - lag(lft) OVER w > 8 AS pind, lag(rgt) OVER w - lag(x1) OVER w > 30 AS pshort, row_number() OVER w AS rn FROM e WINDOW w AS (PARTITION BY doc ORDER BY line)),
+q AS (SELECT *, regexp_matches(pt, '[.!?:"”»]\s*$') AS ended FROM p),
+b AS (SELECT *, CASE WHEN rn = 1 OR heading <> ph OR regexp_matches(text, '^[•●▪◦■–\x{F0B7}] ') OR regexp_matches(text, '^[0-9]{1,2}[).] ') OR
+  CASE WHEN col_start THEN ended OR (NOT regexp_matches(text, '^\p{Ll}') AND NOT ends_with(trim(pt), '-'))
+       ELSE base - pb > 15.6 OR abs(size - ps) > 1.0 OR (bold <> pbold AND NOT heading) OR (x0 - lft > 8 AND NOT pind AND ended) OR (pshort AND ended) END THEN 1 ELSE 0 END AS brk FROM q),
+n AS (SELECT *, sum(brk) OVER (PARTITION BY doc ORDER BY line) AS para FROM b)"""
+
+
+@query(f"WITH {_BREAKS} SELECT doc, para::BIGINT AS para, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars, bool_or(heading) AS heading FROM n GROUP BY doc, para")
+def paragraph_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    line, n = F.col("line"), F.char_length("text")
+    placed = each.select(
+        "doc", "line", "text", (100.0 + 12 * line).alias("base"), F.when(line % 4 == 1, 60.0).otherwise(50.0).alias("x0"), (50.0 + 5 * n).alias("x1"), F.when(n < 30, 14.0).otherwise(10.0).alias("size"),
+        (line % 5 == 0).alias("bold"), (line % 12 == 0).alias("col_start"),
+    )
+    broken = paragraphs.paragraph_breaks(placed, placed.select("doc", F.lit(10.0).alias("body")).distinct())
+    return broken.groupBy("doc", "para").agg(F.count("*").alias("n_lines"), F.sum(n).alias("n_chars"), F.bool_or("heading").alias("heading"))
+
+
 # --- page measurements made of orders (documents) and their lines (pages) ------------------------------------------------
 
 _METAS = """metas AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS page,
