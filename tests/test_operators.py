@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quirespark.functions import text as T
-from quirespark.operators import glyphs, pages, raster
+from quirespark.operators import colour, glyphs, pages, paragraphs, raster
 from quirespark.sources import readers, writers
 
 
@@ -107,3 +107,43 @@ def test_kernel_over_pages(spark):
     table = spark.createDataFrame([("d", 1, 600, 400, px)], "doc string, page int, w int, h int, px binary")
     found = raster.map_pages(table, lambda v: {"angle": raster.skew_angle(v < 0.6), "ink": float((v < 0.6).mean())}, "doc string, page int, angle double, ink double").first()
     assert abs(found["angle"]) < 0.1 and 0.05 < found["ink"] < 0.2
+
+
+def test_signals_and_tiles():
+    grey = np.full((320, 320, 3), 255, np.uint8)
+    grey[100:110, 50:250] = 20
+    s = colour.signals(grey)
+    assert set(s) == set(readers.SIGNALS) and s["hasler"] == 0 and s["nongrey20"] == 0 and s["cc_med_area"] == 2000 and s["cc_big_frac"] == 1
+    assert abs(s["ink"] - 2000 / 320**2) < 1e-9 and s["midtone"] == 0
+    assert colour.tiles(700, 500) == [(0, 0, 320, 320), (320, 0, 640, 320), (0, 320, 320, 500), (320, 320, 640, 500)]
+
+
+def test_figures():
+    page = np.full((140, 160, 3), 255, np.uint8)
+    page[40:100, 30:120] = (200, 40, 40)
+    page[120:122, ::3] = 0
+    assert not colour.is_line_art(page[40:100, 30:120]) and colour.is_line_art(page[110:140])
+    x0, y0, x1, y1 = colour.grow_box(page, (50, 50, 100, 90))
+    assert x0 <= 34 and y0 <= 42 and 116 <= x1 <= 124 and 98 <= y1 <= 104
+    assert colour.grow_box(page, (50, 60, 60, 66)) == (50, 60, 60, 66)  # a picture far larger than the box
+
+
+def test_gutter():
+    spread = np.zeros((480, 1000), bool)
+    spread[40:440:8, 60:460] = spread[40:440:8, 540:940] = True
+    assert colour.gutter(spread) == (500, 80)
+    single = np.zeros((480, 1000), bool)
+    single[40:440:8, 60:940] = True
+    assert colour.gutter(single) is None and colour.gutter(np.zeros((100, 100), bool)) is None
+
+
+def test_notes_and_paragraphs(spark):
+    rows = [("d", i, t) for i, t in enumerate(["1 First note is bro-", "ken here.", "* Second", "3 Third"])]
+    found = paragraphs.notes(spark.createDataFrame(rows, "doc string, line int, text string")).orderBy("note").collect()
+    assert [r["text"] for r in found] == ["1 First note is broken here.", "* Second", "3 Third"]
+    lines = [("A Title", 20.0), ("Some text that goes", 10.0), ("on and ends.", 10.0), ("• an item", 10.0), ("# not a heading", 10.0)]
+    rows = [("d", i, 100.0 + 14 * i, 50.0, 50.0 + 5 * len(t), s, False, t, i == 0) for i, (t, s) in enumerate(lines)]
+    table = spark.createDataFrame(rows, "doc string, line int, base double, x0 double, x1 double, size double, bold boolean, text string, col_start boolean")
+    body = spark.createDataFrame([("d", 10.0)], "doc string, body double")
+    text = [r["text"] for r in paragraphs.paragraphs(paragraphs.paragraph_breaks(table, body)).orderBy("para").collect()]
+    assert text == ["## A Title", "Some text that goes on and ends.", "- an item # not a heading"] or text == ["## A Title", "Some text that goes on and ends.", "- an item", "\\# not a heading"]
