@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,32 @@ def stable(df: DataFrame) -> DataFrame:
     return df if names <= _ROW_BY_ROW else materialize(df, "input")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that only garbage refers to, as those that led to a written table.
+
+    The driver else finds them when its heap happens to fill. The second collection frees what the first one uncovers.
+    """
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
+#: Bits of the filter of maybe_in(): at most 262,144 longs, whatever the size of the tables.
+FILTER_BITS = 24
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of df that can have a partner in keys: the others are told by a bitmap of hashed keys, before any shuffle.
+
+    The bitmap has a bound; where the keys outgrow it, it only lets more rows through to the join that must follow.
+    """
+    word_of = lambda k: F.shiftright(F.shiftrightunsigned(F.xxhash64(k), 64 - bits), 6)
+    bit_of = lambda k: F.expr(f"shiftleft(1L, int(shiftrightunsigned(xxhash64({k}), {64 - bits}) & 63))")
+    bitmap = keys.select(word_of(F.col(key)).alias("filter_word"), bit_of(key).alias("filter_bit")).groupBy("filter_word").agg(F.bit_or("filter_bit").alias("filter_bits"))
+    marked = df.withColumn("filter_word", word_of(F.col(key)))
+    return marked.join(F.broadcast(bitmap), "filter_word").where(F.col("filter_bits").bitwiseAND(bit_of(key)) != 0).drop("filter_word", "filter_bits")
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession

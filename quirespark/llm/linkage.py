@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_scratch, free_shuffles, materialize
 from .components import connected_components
 
 ROUNDS = 1
@@ -39,17 +39,22 @@ def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], f
         weights = sized.groupBy("node").agg(F.sum("size").alias("weight"))
         pivots = sized.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
         around = materialize(sized.join(pivots, "bucket").where("node <> pivot").select("bucket", "node", "pivot"), "around")
+        drop_scratch(sized)
         pairs = around.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
         found.append(materialize(verify(pairs), "links"))
         components = connected_components(reduce(DataFrame.unionByName, found))
         rooted = around.select("bucket", "node").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = materialize(rooted, "rooted")
+        drop_scratch(around)
         sizes = rooted.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket", "size")
         rest = materialize(rooted.join(sizes, "bucket"), "rest")
+        free_shuffles(rest.sparkSession)
+        drop_scratch(rooted)
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, found), components
         if n + 1 < rounds:
             rest = rest.select("bucket", "node")
     found.append(materialize(finish(rest), "links"))
+    drop_scratch(rest)
     links = reduce(DataFrame.unionByName, found)
     return links, connected_components(links)
