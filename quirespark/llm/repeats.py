@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,7 +210,8 @@ def _contents(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """row, raw -> row, start, stop: bytes covered by strings of `length` bytes that occur twice or more; may overlap."""
+    """row, raw -> row, start, runs: for each phrase with repeated strings the place of its first string, and the runs
+    (first, last; from start) of strings of `length` bytes that occur twice or more."""
     runs = materialize(_parsed(texts, length, gram), "phrases")
     again = runs.groupBy("trigger").count().where("count > 1").select("trigger")
     parts = materialize(runs.join(again, "trigger"), "repeat-candidates")
@@ -224,10 +225,12 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     strings = _single_strings(_contents(texts, wanted.where(F.col("variants") > hot), length).select(columns), length)
     strings = materialize(strings, "strings")
     twice = strings.groupBy("string").agg(F.sum("times").alias("n")).where("n > 1").select("string")
-    single = strings.join(twice, "string").select("phrase", F.col("offset").alias("first"), F.col("offset").alias("last"))
+    along = Window.partitionBy("phrase").orderBy("offset")  # of one phrase, which has as many strings as a trigger reaches
+    single = strings.where("times = 1").join(twice, "string").select("phrase", "offset", (F.col("offset") - F.row_number().over(along)).alias("run"))
+    single = single.groupBy("phrase", "run").agg(F.min("offset").alias("first"), F.max("offset").alias("last")).select("phrase", "first", "last")
     whole = phrases.where("times > 1").select("phrase", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
-    found = materialize(known.unionByName(single).unionByName(whole), "repeated-strings")
-    return parts.join(found, "phrase").select("row", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + length).alias("stop"))
+    found = known.unionByName(single).unionByName(whole).groupBy("phrase").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return parts.join(materialize(found, "repeated-strings"), "phrase").select("row", "start", "runs")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -235,7 +238,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     docs = stable(docs)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
-    gone = find_repeats(texts, length, gram, hot).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))  # of one text
+    gone = find_repeats(texts, length, gram, hot).groupBy("row").agg(F.collect_list(F.struct("start", "runs")).alias("gone"))  # of one text
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
@@ -246,8 +249,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for raw, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 step = np.zeros(len(raw) + 1, np.int64)
                 for s in spans or ():
-                    step[s["start"]] += 1
-                    step[s["stop"]] -= 1
+                    for r in s["runs"]:
+                        step[s["start"] + r["first"]] += 1
+                        step[s["start"] + r["last"] + length] -= 1
                 hit = np.cumsum(step[:-1]) > 0
                 kept = np.frombuffer(raw, np.uint8)[~hit].tobytes() if spans else raw
                 rows.append((len(raw), int(hit.sum()), [{"start": a, "stop": b + 1} for a, b in _runs(hit)] if spans else [], kept))
