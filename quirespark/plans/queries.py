@@ -54,6 +54,18 @@ def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 kept AS (SELECT m.page, m.line, m.text FROM marked m LEFT JOIN r ON m.edge AND r.grp = m.grp AND r.norm = m.norm WHERE r.norm IS NULL)
 SELECT page, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM kept GROUP BY page""")
 def edge_lines_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = headers.without_headers(_lines(spark, sf_dir), least=2)
+    return left.groupBy("page").agg(F.count("*").alias("n_lines"), F.sum(F.char_length("text")).alias("n_chars"))
+
+
+@query(f"""WITH {_LINES}, pages AS (SELECT grp, count(DISTINCT page) AS n_pages FROM lines GROUP BY grp),
+r AS (SELECT grp, norm, count(DISTINCT page) AS n_with FROM marked WHERE edge AND norm <> '' GROUP BY grp, norm),
+c AS (SELECT *, coalesce(trim(CASE WHEN 2 * line < n_lines - 1 THEN lead(text) OVER w ELSE lag(text) OVER w END) = '', true) AS clear FROM marked WINDOW w AS (PARTITION BY grp, page ORDER BY line)),
+kept AS (SELECT c.page, c.line, c.text FROM c LEFT JOIN r ON c.edge AND r.grp = c.grp AND r.norm = c.norm LEFT JOIN pages ON pages.grp = c.grp
+  WHERE NOT coalesce(n_with >= greatest(2, n_pages // 4) AND clear OR n_with >= greatest(3, (n_pages + 1) // 2, n_pages // 4), false))
+SELECT page, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM kept GROUP BY page""")
+def header_lines_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As edge_lines_removed, by the share of the group's pages."""
     left = headers.without_headers(_lines(spark, sf_dir))
     return left.groupBy("page").agg(F.count("*").alias("n_lines"), F.sum(F.char_length("text")).alias("n_chars"))
 

@@ -147,3 +147,14 @@ def test_notes_and_paragraphs(spark):
     body = spark.createDataFrame([("d", 10.0)], "doc string, body double")
     text = [r["text"] for r in paragraphs.paragraphs(paragraphs.paragraph_breaks(table, body)).orderBy("para").collect()]
     assert text == ["## A Title", "Some text that goes on and ends.", "- an item # not a heading"] or text == ["## A Title", "Some text that goes on and ends.", "- an item", "\\# not a heading"]
+
+
+def test_headers_go_by_the_share_of_pages(spark):
+    from quirespark.operators import headers
+
+    # 12 pages: "seldom" is on 2, "head" stands clear on 3, "near" is close to the text on 5, "often" close to it on 6.
+    first = ["seldom\n"] * 2 + ["head\n"] * 3 + ["near"] * 5 + ["only a\n", "only b\n"]
+    rows = [("s", i, f"{top}\nbody {'abcdefghijkl'[i]}\nmore {'abcdefghijkl'[i]}\n{'often' if i < 6 else 'end ' + 'abcdefghijkl'[i]}") for i, top in enumerate(first)]
+    left = headers.without_headers(headers.lines(spark.createDataFrame(rows, "s string, p int, t string"), "s", "p", "t"))
+    texts = [r["text"] for r in left.collect()]
+    assert [texts.count(x) for x in ("seldom", "head", "near", "often")] == [2, 0, 5, 0]
