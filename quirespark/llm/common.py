@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,49 +54,69 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quirespark/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a query are deleted when it ends (Spark's own setting); set while a scratch table is written.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back, so that a lost executor costs a read."""
+    """Cut lineage: write df to the shared folder and read it back, so that a lost executor costs a read.
+
+    The shuffles that led to it have no other reader, so their files go when the table is written.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Nodes of a plan that read rows or work on each by itself.
-_ROW_BY_ROW = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Scan", "SerializeFromObject", "ExternalRDD", "RelationV2"}
-
-
-def stable(df: DataFrame) -> DataFrame:
-    """df if it only reads and projects, so that its rows keep their places whenever it is read; else a written copy."""
-    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    names = {line.lstrip(" +-:").split(" ")[0].split("[")[0] for line in lines if line.strip()}
-    return df if names <= _ROW_BY_ROW else materialize(df, "input")
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df only reads files, filters and projects, so that each row is one row of a file."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation"
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that only garbage refers to, as those that led to a written table.
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """df with a key of each row, struct<file: long, index: long>, that is the same whenever and wherever it is read.
 
-    The driver else finds them when its heap happens to fill. The second collection frees what the first one uncovers.
+    Rows of files are told by file and place in the file, whatever splits or executors read them. Of any other table a
+    numbered copy is written first.
     """
-    for _ in range(2):
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+    if _plain_scan(df):
+        try:
+            return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")).alias(name))
+        except AnalysisException:
+            pass  # a format without row numbers
+    return materialize(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("index"))), "input")
 
 
 #: Bits of the filter of maybe_in(): at most 262,144 longs, whatever the size of the tables.
 FILTER_BITS = 24
 
 
-def maybe_in(df: DataFrame, keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+def maybe_in(df: DataFrame, keys: DataFrame, key: str, bits: int = FILTER_BITS, rest: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
     """The rows of df that can have a partner in keys: the others are told by a bitmap of hashed keys, before any shuffle.
 
-    The bitmap has a bound; where the keys outgrow it, it only lets more rows through to the join that must follow.
+    The bitmap has a bound; where the keys outgrow it, it only lets more rows through to the join that must follow. With
+    `rest`, also the rows that have none.
     """
-    word_of = lambda k: F.shiftright(F.shiftrightunsigned(F.xxhash64(k), 64 - bits), 6)
-    bit_of = lambda k: F.expr(f"shiftleft(1L, int(shiftrightunsigned(xxhash64({k}), {64 - bits}) & 63))")
-    bitmap = keys.select(word_of(F.col(key)).alias("filter_word"), bit_of(key).alias("filter_bit")).groupBy("filter_word").agg(F.bit_or("filter_bit").alias("filter_bits"))
-    marked = df.withColumn("filter_word", word_of(F.col(key)))
-    return marked.join(F.broadcast(bitmap), "filter_word").where(F.col("filter_bits").bitwiseAND(bit_of(key)) != 0).drop("filter_word", "filter_bits")
+    word, bit, bitmap_col = (fresh(c, df.columns) for c in ("filter_word", "filter_bit", "filter_bits"))
+    word_of = F.shiftright(F.shiftrightunsigned(F.xxhash64(key), 64 - bits), 6)
+    bit_of = F.expr(f"shiftleft(1L, int(shiftrightunsigned(xxhash64({key}), {64 - bits}) & 63))")
+    bitmap = keys.select(word_of.alias(word), bit_of.alias(bit)).groupBy(word).agg(F.bit_or(bit).alias(bitmap_col))
+    marked = df.withColumn(word, word_of).join(F.broadcast(bitmap), word, "left" if rest else "inner")
+    found = F.coalesce(F.col(bitmap_col).bitwiseAND(bit_of) != 0, F.lit(False))
+    inside = marked.where(found).drop(word, bitmap_col)
+    return (inside, marked.where(~found).drop(word, bitmap_col)) if rest else inside
 
 
 def drop_scratch(df: DataFrame) -> None:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, small_batches, stable
+from .common import drop_scratch, fresh, materialize, small_batches, with_row_key
 from .components import smallest_member
 from .linkage import link_members
 
@@ -238,20 +238,11 @@ def _finish(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return grouped.mapInArrow(compare, "u binary, v binary").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = SHINGLE,
-    threshold: float = SIMILARITY,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """row (the row's place in the scan), id_col, class_id (the class's smallest id), kept (one row of each class)."""
+def _near_duplicates(docs: DataFrame, row: str, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """row, id, class_id, kept of docs that have a row key."""
     small_batches(docs.sparkSession)
-    docs = stable(docs)
     text = F.col(text_col).cast("binary")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("sha"), text.alias("raw"))
+    texts = docs.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("sha"), text.alias("raw"))
     sketched = materialize(_sketches(texts, size, bands, rows), "sketches")
     nodes = materialize(sketched.where("node is not null").groupBy("node").agg(F.min("sha").alias("sha"), F.min(F.struct("id", "row")).alias("of"), F.first("bands").alias("bands")), "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), "node")
@@ -264,16 +255,33 @@ def near_duplicates(
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"), F.col("weights").alias(f"w{s}"))
     verify = lambda pairs: _verified(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "su", "wu", "sv", "wv"), threshold)
     _, found = link_members(members, verify, lambda rest: _finish(rest, sets, threshold))
+    for part in (members, sets):
+        drop_scratch(part)
     rooted = nodes.select("node", "of").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = materialize(smallest_member(rooted, "of").select("node", F.col("of_least").alias("first")), "classes")
+    drop_scratch(nodes)
     with_words = sketched.where("node is not null").select("row", "id", "node").join(classes, "node").select("row", "id", F.col("first.id").alias("class_id"), (F.col("row") == F.col("first.row")).alias("kept"))
     without = sketched.where("node is null").select("row", "id", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
-    return with_words.unionByName(without).withColumnRenamed("id", id_col)
+    return with_words.unionByName(without)
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    threshold: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """row (the row's key in its files), id_col, class_id (the class's smallest id), kept (one row of each class)."""
+    row = fresh("text_row", docs.columns)
+    return _near_duplicates(with_row_key(docs, row), row, id_col, text_col, size, threshold, bands, rows).withColumnRenamed("id", id_col)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with one document of each class, that with the smallest id."""
-    docs = stable(docs)
-    row = fresh("kept_row", docs.columns)
-    stay = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(stay, row, "left_semi").select(*docs.columns)
+    row = fresh("text_row", docs.columns)
+    keyed = with_row_key(docs, row)
+    stay = _near_duplicates(keyed, row, id_col, text_col, size, threshold, bands, rows).where("kept").select(F.col("row").alias(row))
+    return keyed.join(stay, row, "left_semi").select(*docs.columns)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches, stable
+from .common import materialize, small_batches, with_row_key
 
 LENGTH = 400
 GRAM = 48
@@ -98,11 +98,13 @@ def _parsed(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(row, a, n, at, g, hashlib.md5(raw[a : a + n + length - 1]).digest()) for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, n, at, g in parse(raw, length, gram)]
+            out = [(i, a, n, at, g, hashlib.md5(raw[a : a + n + length - 1]).digest()) for i, raw in enumerate(batch.column(1).to_pylist()) for a, n, at, g in parse(raw, length, gram)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["row", "start", "n", "at", "trigger", "phrase"])
+            columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], ["row", "start", "n", "at", "trigger", "phrase"])
 
-    return texts.where(F.length("raw") >= length).mapInArrow(run, "row long, start long, n int, at int, trigger long, phrase binary")
+    schema = T.StructType([texts.schema["row"], *T.StructType.fromDDL("start long, n int, at int, trigger long, phrase binary").fields])
+    return texts.where(F.length("raw") >= length).mapInArrow(run, schema)
 
 
 def _common(rows: np.ndarray) -> np.ndarray:
@@ -236,10 +238,10 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """id_col, n_bytes, n_removed, spans (removed runs of bytes, half-open, maximal) and kept (the remaining bytes)."""
     small_batches(docs.sparkSession)
-    docs = stable(docs)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
+    keyed = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "row")
+    texts = keyed.select("row", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
     gone = find_repeats(texts, length, gram, hot).groupBy("row").agg(F.collect_list(F.struct("start", "runs")).alias("gone"))  # of one text
-    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
+    named = keyed.select("row", "id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
 
