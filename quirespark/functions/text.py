@@ -109,3 +109,42 @@ def colour_list(text: Column) -> Column:
 def output_name(path: Column, ending: str = "1bit") -> Column:
     """The name of a shrunk document: its own without .pdf, and an ending."""
     return F.concat(F.regexp_replace(path, r"\.pdf$", ""), F.lit(f".{ending}.pdf"))
+
+
+#: Characters beyond Latin-1 that the fonts' encoding has, and their bytes.
+WINANSI = {"\u2018": 0x91, "\u2019": 0x92, "\u201c": 0x93, "\u201d": 0x94, "\u2022": 0x95, "\u2013": 0x96, "\u2014": 0x97, "\u2026": 0x85, "\u20ac": 0x80}
+
+
+def winansi(text: Column) -> Column:
+    """struct<bytes, skipped>: the text in the fonts' one-byte encoding, and how many characters it does not have."""
+    known = "".join(WINANSI)
+    kept = F.regexp_replace(text, f"[^\\x20-\\x7e\\xa0-\\xff{known}]", "")
+    moved = F.translate(kept, known, "".join(map(chr, WINANSI.values())))
+    return F.struct(F.encode(moved, "ISO-8859-1").alias("bytes"), (F.char_length(text) - F.char_length(kept)).alias("skipped"))
+
+
+def row_count(text: Column, w: Column, h: Column) -> Column:
+    """Into how many rows of half-square letters a text is cut to fill a box."""
+    n = F.char_length(text)
+    return F.greatest(F.lit(1), F.least(F.round(F.sqrt(0.5 * n * F.greatest(h, F.lit(1.0)) / F.greatest(w, F.lit(1.0)))), F.greatest(n, F.lit(1)))).cast("int")
+
+
+def rows_of_box(text: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """array<struct<s, x0, y0, x1, y1>>: the text in the rows of its box, each cut at the space nearest the even split; the last row
+    is as wide as its share of letters."""
+    n, k = F.char_length(text), row_count(text, x1 - x0, y1 - y0)
+    per, high = F.greatest(n, F.lit(1)) / k, (y1 - y0) / k
+    spaces = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(F.substring(text, i, F.lit(1)) == " ", i - 1)), lambda i: i.isNotNull() & (i > 0))
+
+    def cut(held: Column, r: Column) -> Column:
+        at = F.element_at(held, -1)
+        goal = F.floor((r + 1) * per).cast("int")
+        nearest = F.array_min(F.transform(spaces, lambda i: F.struct(F.abs(i - goal).alias("d"), i.alias("i"))))["i"]
+        end = F.when(r + 1 == k, n).when(nearest > at, nearest).otherwise(F.least(F.greatest(goal, at + 1), n))
+        return F.concat(held, F.array(end))
+
+    ends = F.aggregate(F.sequence(F.lit(0), k - 1), F.array(F.lit(0)), cut)
+    row = lambda r: F.trim(F.substring(text, F.get(ends, r) + 1, F.get(ends, r + 1) - F.get(ends, r)))
+    wide = lambda r: F.when(r + 1 == k, x0 + (x1 - x0) * F.least(F.char_length(row(r)) / per, F.lit(1.0))).otherwise(x1)
+    each = F.transform(F.sequence(F.lit(0), k - 1), lambda r: F.struct(row(r).alias("s"), x0.alias("x0"), (y0 + r * high).alias("y0"), wide(r).alias("x1"), (y0 + (r + 1) * high).alias("y1")))
+    return F.filter(each, lambda r: r["s"] != "")

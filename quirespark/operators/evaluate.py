@@ -116,3 +116,60 @@ def figure_anchors(figures: DataFrame, lines: DataFrame) -> DataFrame:
     met = figures.join(below, "doc").where("base > top and l_x0 < x1 and l_x1 > x0")
     found = met.groupBy("doc", "fig").agg(F.min(F.struct("base", "line"))["line"].alias("line"))
     return figures.join(found, ["doc", "fig"], "left")
+
+
+def counts_by_label(labelled: DataFrame) -> DataFrame:
+    """scope, label, n."""
+    return labelled.groupBy("scope", "label").agg(F.count("*").alias("n"))
+
+
+def figure_totals(figures: DataFrame) -> DataFrame:
+    """One row: how many figures, their bytes, how many have grown and how many were dropped."""
+    return figures.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.count_if("grown").alias("grown"), F.count_if("dropped").alias("dropped"))
+
+
+def file_names(files: DataFrame) -> DataFrame:
+    """file, name: f1, f2, ... in alphabetical order; one row a file."""
+    each = files.distinct()
+    return each.select("file", F.concat(F.lit("f"), F.dense_rank().over(Window.orderBy("file")).cast("string")).alias("name"))  # one row a file
+
+
+def last_by_label(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of the rows of each key the last."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
+def joined_pages(pages: DataFrame) -> DataFrame:
+    """pages (file, page from 1) with place: the page's number when files follow each other in order."""
+    sizes = pages.groupBy("file").agg(F.max("page").alias("n"))
+    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a file
+    return pages.join(before, "file").withColumn("place", F.col("before") + F.col("page")).drop("before")
+
+
+def colour_lists(pages: DataFrame) -> DataFrame:
+    """doc, pages: `12` for a whole page, `12a` or `12b` for a half of one that is split, joined by commas; `none` without any. pages: doc,
+    page, a, b (whether the left and the right slot are in colour), split."""
+    a, b = F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False))
+    name = F.concat(F.col("page").cast("string"), F.when(a & b, "").when(a & ~F.col("split"), "").when(a, "a").otherwise("b"))
+    listed = F.array_sort(F.collect_list(F.when(a | b, F.struct("page", name.alias("name")))))  # of one document
+    return pages.groupBy("doc").agg(F.coalesce(F.nullif(F.array_join(F.transform(listed, lambda p: p["name"]), ","), F.lit("")), F.lit("none")).alias("pages"))
+
+
+def class_matrix(scored: DataFrame, by: list[str]) -> DataFrame:
+    """by, positive, negative, auc of each ordered pair of classes (label: the class, v), the better of both directions.
+
+    Each class is counted by distinct values once; a pair meets on those counts, not on rows.
+    """
+    counts = scored.groupBy(*by, "label", "v").agg(F.count("*").alias("n"))
+    values = counts.select(*by, "v").distinct()
+    classes = counts.select(*by, F.col("label").alias("c")).distinct()
+    pairs = classes.join(classes.withColumnRenamed("c", "d"), by).where("c < d")  # a few classes of one file
+    side = lambda name, n: counts.select(*by, F.col("label").alias(name), "v", F.col("n").alias(n))
+    met = values.join(pairs, by).join(side("c", "p"), [*by, "c", "v"], "left").join(side("d", "m"), [*by, "d", "v"], "left").fillna(0, ["p", "m"])
+    key = [*by, "c", "d"]
+    before = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = met.withColumn("below", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    sums = ranked.groupBy(*key).agg(F.sum("p").alias("pos"), F.sum("m").alias("neg"), F.sum(F.col("p") * (F.col("below") + F.col("m") / 2)).alias("u"))
+    u = F.col("u") / (F.col("pos") * F.col("neg"))
+    return sums.select(*by, F.col("c").alias("positive"), F.col("d").alias("negative"), F.round(F.greatest(u, 1 - u), 6).alias("auc"))

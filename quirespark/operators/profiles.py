@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_groups
+
 
 def quantised(x: F.Column) -> F.Column:
     """A share as its nearest multiple of 1/255."""
@@ -81,16 +83,54 @@ def tile_signals(tiles: DataFrame) -> DataFrame:
     )
 
 
-def grid_components(cells: DataFrame, rounds: int) -> DataFrame:
-    """key, x, y, root: components of flagged cells of small grids (8 neighbours), named by their least y * 1000 + x.
+def grid_components(cells: DataFrame) -> DataFrame:
+    """key, x, y, root: components of the flagged cells of each page's grid (8 neighbours), named by their least y * 1000 + x."""
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        root: dict[tuple, int] = {}
+        cells = {(x, y) for y, x in rows}
+        for y, x in rows:  # the least of a component comes first
+            if (x, y) in root:
+                continue
+            root[x, y], todo = y * 1000 + x, [(x, y)]
+            while todo:
+                cx, cy = todo.pop()
+                for near in ((cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                    if near in cells and near not in root:
+                        root[near] = y * 1000 + x
+                        todo.append(near)
+        return [(x, y, r) for (x, y), r in root.items()]
+
+    return fold_groups(cells.select("key", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct(), ["key"], ["y", "x"], fold, "x int, y int, root int")
+
+
+def component_boxes(grouped: DataFrame, pages: DataFrame, tile: int) -> DataFrame:
+    """key, root, x0, y0, x1, y1: the box around each component of tiles and half a tile more, clipped to its page (key, w, h)."""
+    half = tile // 2
+    boxes = grouped.groupBy("key", "root").agg(*[f(c).alias(n) for f, c, n in ((F.min, "x", "ax"), (F.min, "y", "ay"), (F.max, "x", "bx"), (F.max, "y", "by"))])
+    edge = lambda c, n: F.least(F.col(c), (F.col(n) + 1) * tile + half)
+    return boxes.join(pages, "key").select("key", "root", F.greatest(F.lit(0), F.col("ax") * tile - half).alias("x0"), F.greatest(F.lit(0), F.col("ay") * tile - half).alias("y0"), edge("w", "bx").alias("x1"), edge("h", "by").alias("y1"))
+
+
+def local_minima(profile: DataFrame, least: int = 3) -> DataFrame:
+    """key, i: where a profile (key, i, d), smoothed over three, is cut into lines: at its first place, at local minima at least
+    `least` after the cut before, and at its last place."""
+    w = Window.partitionBy("key").orderBy("i")
+    smooth = profile.select("key", "i", F.round(F.sum("d").over(w.rowsBetween(-1, 1)) / 3, 9).alias("m"))
+    low = (F.col("m") <= F.lag("m").over(w)) & (F.col("m") < F.lead("m").over(w))
+    ends = F.lag("m").over(w).isNull() | F.lead("m").over(w).isNull()
+    places = smooth.withColumn("low", F.coalesce(low, F.lit(False))).withColumn("end", ends).where("low or end").select("key", "i", "end")
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        out = [rows[0][0]]
+        for i, end in rows[1:]:
+            if end or i - out[-1] >= least:
+                out.append(i)
+        return [(i,) for i in out]
 
-    Labels spread `rounds` steps, for grids on which no shortest way is longer.
-    """
-    out = cells.select("key", "x", "y", (F.col("y") * 1000 + F.col("x")).alias("root"))
-    grouped = out.groupBy("key").agg(F.collect_list(F.struct("x", "y", "root")).alias("cells"))  # of one grid
+    return fold_groups(places, ["key"], ["i"], fold, "i int")
 
-    def spread(held: F.Column, _: F.Column) -> F.Column:
-        least = lambda c: F.array_min(F.transform(F.filter(held, lambda o: (F.abs(o["x"] - c["x"]) <= 1) & (F.abs(o["y"] - c["y"]) <= 1)), lambda o: o["root"]))
-        return F.transform(held, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), least(c).alias("root")))
 
-    return grouped.select("key", F.inline(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("cells"), spread)))
+def usable_tiles(profiles: DataFrame, darkest: float = 0.4) -> DataFrame:
+    """Tiles (key, rows, cols: arrays of mean darkness) of which no row and no column is darker than a line of text gets."""
+    return profiles.where(~F.exists("rows", lambda v: v > darkest) & ~F.exists("cols", lambda v: v > darkest))

@@ -36,6 +36,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.lines(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
+def _volume_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As _lines(), for groups of eight documents that follow each other."""
+    documents = table(spark, sf_dir, "documents").withColumn("volume", F.expr("doc_id div 8"))
+    return headers.lines(documents, "volume", "doc_id", "text")
+
+
 _LINES = r"""
 lines AS (SELECT source AS grp, doc_id AS page, len(string_split(text, chr(10))) AS n_lines, unnest(range(len(string_split(text, chr(10))))) AS line,
                  unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),
@@ -43,61 +49,63 @@ marked AS (SELECT *, regexp_replace(lower(trim(text)), '#?[0-9]+', '#', 'g') AS
                   (line + 1 < 0.12 * n_lines OR line > 0.88 * n_lines OR line = 0 OR line = n_lines - 1) AS edge FROM lines)"""
 
 
-@query(f"""WITH {_LINES}, pages AS (SELECT grp, count(DISTINCT page) AS n_pages FROM lines GROUP BY grp),
+_VOLUME_LINES = _LINES.replace("SELECT source AS grp", "SELECT doc_id // 8 AS grp")
+
+
+@query(f"""WITH {_VOLUME_LINES}, pages AS (SELECT grp, count(DISTINCT page) AS n_pages FROM lines GROUP BY grp),
 r AS (SELECT grp, norm, count(DISTINCT page) AS n_with FROM marked WHERE edge AND norm <> '' GROUP BY grp, norm)
 SELECT grp, norm, n_with, n_pages FROM r JOIN pages USING (grp) WHERE n_with >= greatest(2, n_pages // 4)""")
 def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headers.running_headers(_lines(spark, sf_dir)).select("grp", "norm", "n_with", "n_pages")
-
-
-@query(f"""WITH {_LINES}, r AS (SELECT grp, norm FROM marked WHERE edge AND norm <> '' GROUP BY grp, norm HAVING count(DISTINCT page) >= 2),
-kept AS (SELECT m.page, m.line, m.text FROM marked m LEFT JOIN r ON m.edge AND r.grp = m.grp AND r.norm = m.norm WHERE r.norm IS NULL)
-SELECT page, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM kept GROUP BY page""")
-def edge_lines_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = headers.without_headers(_lines(spark, sf_dir), least=2)
-    return left.groupBy("page").agg(F.count("*").alias("n_lines"), F.sum(F.char_length("text")).alias("n_chars"))
+    return headers.running_headers(_volume_lines(spark, sf_dir)).select("grp", "norm", "n_with", "n_pages")
 
 
-@query(f"""WITH {_LINES}, pages AS (SELECT grp, count(DISTINCT page) AS n_pages FROM lines GROUP BY grp),
+_REMOVED = """pages AS (SELECT grp, count(DISTINCT page) AS n_pages FROM lines GROUP BY grp),
 r AS (SELECT grp, norm, count(DISTINCT page) AS n_with FROM marked WHERE edge AND norm <> '' GROUP BY grp, norm),
 c AS (SELECT *, coalesce(trim(CASE WHEN 2 * line < n_lines - 1 THEN lead(text) OVER w ELSE lag(text) OVER w END) = '', true) AS clear FROM marked WINDOW w AS (PARTITION BY grp, page ORDER BY line)),
 kept AS (SELECT c.page, c.line, c.text FROM c LEFT JOIN r ON c.edge AND r.grp = c.grp AND r.norm = c.norm LEFT JOIN pages ON pages.grp = c.grp
   WHERE NOT coalesce(n_with >= greatest(2, n_pages // 4) AND clear OR n_with >= greatest(3, (n_pages + 1) // 2, n_pages // 4), false))
-SELECT page, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM kept GROUP BY page""")
+SELECT page, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM kept GROUP BY page"""
+
+
+@query(f"WITH {_VOLUME_LINES}, {_REMOVED}")
+def edge_lines_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers go by the share of the pages of a volume of eight."""
+    left = headers.without_headers(_volume_lines(spark, sf_dir))
+    return left.groupBy("page").agg(F.count("*").alias("n_lines"), F.sum(F.char_length("text")).alias("n_chars"))
+
+
+@query(f"WITH {_LINES}, {_REMOVED}")
 def header_lines_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As edge_lines_removed, by the share of the group's pages."""
+    """As edge_lines_removed, for whole sources."""
     left = headers.without_headers(_lines(spark, sf_dir))
     return left.groupBy("page").agg(F.count("*").alias("n_lines"), F.sum(F.char_length("text")).alias("n_chars"))
 
 
 @query(r"""WITH lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL),
-last AS (SELECT doc_id, line, string_split_regex(trim(t), '\s+')[-1] AS w FROM lines),
-n AS (SELECT doc_id, line, regexp_replace(w, '^[^0-9]+|[^0-9]+$', '', 'g') AS d FROM last)
-SELECT doc_id, line::INT AS line, d::INT AS number FROM n WHERE regexp_matches(d, '^[0-9]{1,4}$')""")
+w AS (SELECT doc_id, line, string_split_regex(trim(t), '\s+') AS w FROM lines),
+n AS (SELECT DISTINCT doc_id, line, regexp_replace(unnest([w[1], w[-1]]), '^[^0-9]+|[^0-9]+$', '', 'g') AS d FROM w)
+SELECT DISTINCT doc_id, line::INT AS line, d::INT AS number FROM n WHERE regexp_matches(d, '^[0-9]{1,4}$')""")
 def edge_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The number that ends a line."""
+    """The numbers that begin or end a line."""
     each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    found = each.select("doc_id", "line", F.get(F.split(F.trim("t"), r"\s+"), F.size(F.split(F.trim("t"), r"\s+")) - 1).alias("w"))
-    bare = found.select("doc_id", "line", F.regexp_replace("w", "^[^0-9]+|[^0-9]+$", "").alias("d"))
-    return bare.where(F.col("d").rlike("^[0-9]{1,4}$")).select("doc_id", "line", F.col("d").cast("int").alias("number"))
-
-
-_NUMBERS = ["- 12 -", "Page 3 of 9", "4/10", "[7]", "s. 15", "side 2 af 30", "12345", "p. 8", "Page three", "·6·", "1 2", " 42 ", "of 3", "– 77 –"]
-_NUMBERS_SQL = ", ".join(f"('{x}')" for x in _NUMBERS)
+    return each.select("doc_id", "line", F.explode(F.array_distinct(T.edge_numbers(F.col("t")))).alias("number"))
 
 
-@query(rf"""WITH v(t) AS (VALUES {_NUMBERS_SQL}), a AS (SELECT t, lower(regexp_replace(trim(t), '^[\-–—|·•()\[\] ]+|[\-–—|·•()\[\] ]+$', '', 'g')) AS b FROM v),
-c AS (SELECT t, regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '^side ', ''), '^page ', ''), '^s\. ', ''), '^p\. ', '') AS b FROM a)
-SELECT t AS text, CASE WHEN regexp_matches(b, '^[0-9]{{1,4}}$') THEN b::INT
-  WHEN regexp_matches(b, '^[0-9]{{1,4}} *(/| (of|af) ) *[0-9]{{1,4}}$') THEN regexp_extract(b, '^([0-9]+)', 1)::INT END AS number FROM c""")
+@query(r"""WITH v AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS line, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, line, lower(regexp_replace(trim(t), '^[\-–—|·•()\[\] ]+|[\-–—|·•()\[\] ]+$', '', 'g')) AS b FROM v),
+c AS (SELECT doc_id, line, regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '^side ', ''), '^page ', ''), '^s\. ', ''), '^p\. ', '') AS b FROM a),
+d AS (SELECT doc_id, line, CASE WHEN regexp_matches(b, '^[0-9]{1,4}$') THEN b::INT
+  WHEN regexp_matches(b, '^[0-9]{1,4} *(/| (of|af) ) *[0-9]{1,4}$') THEN regexp_extract(b, '^([0-9]+)', 1)::INT END AS number FROM c)
+SELECT doc_id, count(*) AS n_lines, count(number) AS n_numbers, coalesce(sum(number), 0)::BIGINT AS total FROM d GROUP BY doc_id""")
 def page_number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in _NUMBERS])).alias("text"))
-    return rows.select("text", T.page_number(F.col("text")).alias("number"))
+    """How many lines of each document read as a page number, and the sum of those."""
+    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("t")).withColumn("number", T.page_number(F.col("t")))
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count("number").alias("n_numbers"), F.coalesce(F.sum("number"), F.lit(0)).alias("total"))
 
 
 _CANDIDATES = r"""
 ranked AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page FROM documents),
-cand AS (SELECT source AS doc, page, list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda x: length(x) <= 2), lambda x: x::INT) AS numbers FROM ranked),
+cand AS (SELECT source AS doc, page, list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda x: length(x) <= 4), lambda x: x::INT) AS numbers FROM ranked),
 each AS (SELECT DISTINCT doc, page, unnest(numbers) AS n FROM cand),
 votes AS (SELECT doc, n - page AS off, count(DISTINCT page) AS c FROM each GROUP BY 1, 2), having_n AS (SELECT doc, count(DISTINCT page) AS n_with FROM each GROUP BY 1),
 best AS (SELECT doc, off FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY c DESC, off) AS r FROM votes) JOIN having_n USING (doc) WHERE r = 1 AND c >= 2 AND 5 * c >= 2 * n_with),
@@ -111,7 +119,7 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    numbers = F.transform(F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[0-9]+"), F.lit(0)), lambda x: F.length(x) <= 2), lambda x: x.cast("int"))
+    numbers = F.transform(F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[0-9]+"), F.lit(0)), lambda x: F.length(x) <= 4), lambda x: x.cast("int"))
     each = table(spark, sf_dir, "documents").select("source", "doc_id", numbers.alias("numbers"))
     return pages.page_labels(each.select(F.col("source").alias("doc"), place.alias("page"), "numbers"))
 
@@ -136,8 +144,8 @@ def glyph_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH {_GLYPHS},
 gaps AS (SELECT doc, row, x0, x0 - gap AS f FROM p WHERE gap >= 4),
-free AS (SELECT DISTINCT doc, row, unnest(range(ceil(f)::BIGINT, floor(x0)::BIGINT)) AS bin FROM gaps),
-over_ AS (SELECT doc, bin, count(*) AS n_over FROM (SELECT doc, row, unnest(range(floor(min(x0))::BIGINT, ceil(max(x1))::BIGINT)) AS bin FROM p GROUP BY doc, row) GROUP BY doc, bin),
+free AS (SELECT doc, row, unnest(range(floor(f)::BIGINT + 1, floor(x0)::BIGINT)) AS bin FROM gaps),
+over_ AS (SELECT doc, bin, count(*) AS n_over FROM (SELECT doc, row, unnest(range(floor(min(x0))::BIGINT, floor(max(x1))::BIGINT)) AS bin FROM p GROUP BY doc, row) GROUP BY doc, bin),
 c AS (SELECT doc, bin, count(*) AS n_free FROM free GROUP BY doc, bin HAVING count(*) >= 5)
 SELECT doc, bin::INT AS bin, n_free, n_over FROM c JOIN over_ USING (doc, bin) WHERE n_free >= 0.3 * n_over""")
 def column_gutter_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,10 +257,8 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT conv_id, string_agg(CASE WHEN length(text) >= 30 THEN 'D' ELSE 'S' END, '' ORDER BY turn, length(text) >= 30) AS letters FROM conversations GROUP BY conv_id""")
 def classify_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), (F.char_length("text") >= 30).alias("digital"))
-    letter = F.struct("page", F.coalesce("digital", F.lit(False)).alias("digital"))
-    parts = F.transform(F.array_sort(F.collect_list(letter)), lambda p: F.when(p["digital"], "D").otherwise("S"))
-    return talk.groupBy(F.col("doc").alias("conv_id")).agg(F.array_join(parts, "").alias("letters"))
+    talk = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.coalesce(F.char_length("text") >= 30, F.lit(False)).alias("digital"))
+    return pages.classify(talk).select(F.col("doc").alias("conv_id"), "letters")
 
 
 @query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
@@ -470,7 +476,7 @@ SELECT key, x, y, min(root)::INT AS root FROM reach GROUP BY key, x, y""")
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.posexplode("embedding").alias("i", "e"))
     cells = each.where(F.col("e").cast("double") > 0.1).select("key", (F.col("i") % 8).cast("int").alias("x"), F.expr("int(i div 8)").alias("y"))
-    return profiles.grid_components(cells, 32)
+    return profiles.grid_components(cells)
 
 
 # --- scored pages: labels of documents, a signal of their text, the source as the file -----------------------------------
@@ -547,9 +553,9 @@ def tile_region_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.region_labels(*_tiles(spark, sf_dir)).select("page", "tile", "class")
 
 
-@query(f"""WITH {_TILES}, b AS (SELECT * FROM tiles WHERE tile % 2 = 0), g AS (SELECT page, no, x, unnest(range(y0, y1, 10)) AS y FROM (SELECT *, unnest(range(x0, x1, 10)) AS x FROM regions)),
+@query(f"""WITH {_TILES}, b AS (SELECT page, x0, y0, x0 + 200 AS x1, y1 FROM tiles), g AS (SELECT page, no, x, unnest(range(y0, y1, 10)) AS y FROM (SELECT *, unnest(range(x0, x1, 10)) AS x FROM regions)),
 h AS (SELECT g.*, EXISTS (SELECT 1 FROM b WHERE b.page = g.page AND g.x >= b.x0 AND g.x < b.x1 AND g.y >= b.y0 AND g.y < b.y1) AS hit FROM g)
 SELECT page, no, round(avg(hit::INT), 6) AS covered FROM h GROUP BY page, no""")
 def region_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles, regions = _tiles(spark, sf_dir)
-    return evaluate.coverage(regions, tiles.where("tile % 2 = 0"))
+    return evaluate.coverage(regions, tiles.withColumn("x1", F.col("x0") + 200))

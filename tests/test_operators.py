@@ -47,7 +47,7 @@ def test_two_columns(spark):
     split = glyphs.fragments(glyphs.baseline_rows(glyphs.without_doubles(table)))
     assert sorted({r["text"] for r in split.collect()}) == ["left side", "right side"] and split.count() == 16
     bins = {r["bin"] for r in glyphs.gutter_bins(glyphs.baseline_rows(table)).collect()}
-    assert min(bins) == 145 and max(bins) == 349
+    assert min(bins) == 146 and max(bins) == 349
 
 
 def test_layout_and_labels(spark, tmp_path):
