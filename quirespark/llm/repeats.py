@@ -5,18 +5,19 @@ is its trigger, which its own bytes decide. Consecutive strings with the same tr
 into phrases, and equal passages into equal phrases, but for their edges. What counts is decided by stages:
 
 1. A trigger whose hash occurs once in the corpus begins no repeat: its phrases are done.
-2. Equal phrases form the dictionary. All strings of a phrase that occurs twice are repeated.
-3. Only where a trigger has different phrases, one of them single, strings of different phrases are compared. The phrases are
-   aligned at the trigger and put in order twice, by what follows it and, backwards, by what precedes it: the suffix order
-   of the dictionary and that of its mirror image, with the lengths of common prefixes. Two strings are equal if and only if
-   they begin as far before the trigger and neither order has a shorter common prefix between their phrases. No hash decides
-   equality there.
-
-A trigger with more than HOT different phrases is not gathered in one task: its strings go by their MD5 through a partial
-aggregate. Matches never cross texts.
-
-Departure from the method as named: the suffix arrays are formed per trigger and only for phrases that can hold a repeat
-not yet known, and are not merged to one array of the corpus, which no later step would read.
+2. Equal phrases, told by a 128-bit hash as is usual for the dictionary of a parse, are one entry. All strings of a phrase that occurs
+   twice are repeated.
+3. Phrases that share their trigger with another, where one of them is single, are put in two orders over the whole corpus: that of
+   the suffixes of the parse, which begin at a trigger, and that of the dictionary's phrases read backwards from the trigger. Both are
+   suffix arrays with the lengths of common prefixes between neighbours, cut at LENGTH bytes.
+4. A string that begins o bytes before its trigger is an interval of the second order (those that share o bytes before the trigger)
+   and one of the first (those that share LENGTH - o bytes from it on). Both intervals together are its place in the order of the
+   corpus: two strings are equal if and only if they have both in common. No hash decides that.
+
+The orders are made by Spark's range partitioning and sort. An interval may reach over partitions, so each partition tells, for each
+length, where it is first and last broken; those few rows of ORDER_PARTITIONS at most are carried along on the driver. Intervals of one
+string are left out, so a phrase has a row for each interval that it shares, not for each of its strings. Matches never cross
+texts.
 
 Defined cases: a null text is empty; texts shorter than LENGTH have nothing to remove but count in nothing either; repeated
 rows are texts of their own, so both lose what they share; ids may be null or repeat; an empty table gives an empty
@@ -30,15 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches, with_row_key
+from .common import drop_scratch, materialize, small_batches, with_row_key
 
 LENGTH = 400
 GRAM = 48
-HOT = 2_000
+#: The orders have at most so many partitions, which bounds what is carried along them.
+ORDER_PARTITIONS = 2_000
+#: Rows of an order that are looked at together.
+ORDER_ROWS = 1_024
 #: A text is parsed in stretches of so many strings.
 STRETCH = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -107,140 +111,223 @@ def _parsed(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.where(F.length("raw") >= length).mapInArrow(run, schema)
 
 
-def _common(rows: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each row and the one before it; 0 for the first."""
-    differ = rows[1:] != rows[:-1]
-    return np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])])
-
-
-def _classes(parts: list[bytes], width: int, lengths: np.ndarray) -> np.ndarray:
-    """By part and length, a number that two parts share if and only if their first `length` bytes are equal."""
-    order = sorted(range(len(parts)), key=parts.__getitem__)
-    # Padding can't make unequal parts equal: only lengths that both parts have are asked for.
-    rows = np.frombuffer(b"".join(parts[i][:width].ljust(width, b"\0") for i in order), np.uint8).reshape(len(parts), width)
-    numbers = np.cumsum(_common(rows)[:, None] < lengths[None, :], axis=0)
-    out = np.empty_like(numbers)
-    out[order] = numbers
-    return out
-
-
-def repeated_strings(phrases: list[tuple[bytes, int, int, int]], length: int) -> list[np.ndarray]:
-    """Of phrases (bytes, strings, trigger's place, times) with one trigger: which of their strings occur twice or more."""
-    most = max(at for _, _, at, _ in phrases)
-    offsets = np.arange(most + 1)  # by how much a string begins before the trigger
-    before = _classes([c[:at][::-1] for c, _, at, _ in phrases], max(1, most), offsets)
-    after = _classes([c[at:] for c, _, at, _ in phrases], length, length - offsets)
-    first = np.array([at - n + 1 for _, n, at, _ in phrases])[:, None]
-    last = np.array([at for _, _, at, _ in phrases])[:, None]
-    valid = (offsets[None, :] >= first) & (offsets[None, :] <= last)
-    times = np.array([t for *_, t in phrases])
-    many = len(phrases) + 1
-    code = np.where(valid, before.astype(np.int64) * many + after, -1 - np.arange(len(phrases))[:, None])
-    order = np.argsort(code, axis=0, kind="stable")
-    ranked = np.take_along_axis(code, order, axis=0)
-    same = ranked[1:] == ranked[:-1]
-    twice = np.zeros_like(valid)
-    twice[1:] |= same
-    twice[:-1] |= same
-    found = np.zeros_like(valid)
-    np.put_along_axis(found, order, twice, axis=0)
-    found = (found | (times[:, None] > 1)) & valid
-    # In order of the strings: the first begins farthest before the trigger.
-    return [found[i, at - n + 1 : at + 1][::-1] for i, (_, n, at, _) in enumerate(phrases)]
-
-
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.diff(flags.astype(np.int8), prepend=0, append=0)
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
 
 
-def _compare(contents: DataFrame, length: int) -> DataFrame:
-    """Sorted by trigger: phrase, first, last (runs of repeated strings of single phrases)."""
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(differ[0]) if len(differ) else n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        out: list[tuple] = []
 
-        def done() -> None:
-            found = repeated_strings([(content, n, at, times) for _, _, n, at, times, content in held], length)
-            out.extend((row[1], a, b) for row, flags in zip(held, found, strict=True) if row[4] == 1 for a, b in _runs(flags))
-            held.clear()
-
-        def ready() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int32(), pa.int32()))], ["phrase", "first", "last"])
-            out.clear()
-            return batch
+def _ordered(keyed: DataFrame) -> DataFrame:
+    """phrase, at, low, high, key -> phrase, at, low, high, part, place (in the part), common (with the key before; -1 for a part's
+    first), edge (the key of a part's first and last row), all in the order of key."""
+    parts = min(ORDER_PARTITIONS, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = keyed.repartitionByRange(parts, "key", "phrase").sortWithinPartitions("key", "phrase").withColumn("part", F.spark_partition_id())
+    names = ["phrase", "at", "low", "high", "part", "place", "common", "edge"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row so far, which may be a part's last
+        before, place = b"", 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][0] != row[0]:
-                    done()
-                held.append(row)
-            yield ready()
-        if held:
-            done()
-            yield ready()
-
-    return contents.mapInArrow(run, "phrase binary, first int, last int")
+            keys = batch.column(5).to_pylist()
+            if not keys:
+                continue
+            common = [_common(x, y) for x, y in zip([before, *keys], keys, strict=False)]
+            if not place:
+                common[0] = -1
+            edge = [k if place == i == 0 else None for i, k in enumerate(keys)]
+            columns = [*(batch.column(i) for i in range(5)), pa.array(range(place, place + len(keys)), pa.int64()), pa.array(common, pa.int32()), pa.array(edge, pa.binary())]
+            ready = pa.RecordBatch.from_arrays(columns, names)
+            if held is not None:
+                yield held
+            yield ready.slice(0, len(keys) - 1)
+            held, before, place = ready.slice(len(keys) - 1), keys[-1], place + len(keys)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([*held.columns[:-1], pa.array([before], pa.binary())], names)
+
+    ddl = "phrase binary, at int, low int, high int, part int, place long, common int, edge binary"
+    return materialize(order.select("phrase", "at", "low", "high", "part", "key").mapInArrow(run, ddl), "order")
+
+
+def _carried(order: DataFrame, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each part and each length from 0 to `most`, the first row of the interval that holds the part's first row, and the last
+    row of that which holds its last row. What is read has a row for each part and length at most."""
+    sizes = {r["part"]: r["n"] for r in order.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    edges = {(r["part"], r["place"]): bytes(r["edge"]) for r in order.where("edge is not null").select("part", "place", "edge").collect()}
+    first = {p: np.full(most + 1, -1, np.int64) for p in sizes}  # where an interval of that length is broken, -1 if nowhere
+    last = {p: np.full(most + 1, -1, np.int64) for p in sizes}
+    for r in order.where("place > 0").groupBy("part", "common").agg(F.min("place").alias("a"), F.max("place").alias("b")).collect():
+        f, z = first[r["part"]][r["common"] + 1 :], last[r["part"]][r["common"] + 1 :]
+        f[:] = np.where((f < 0) | (r["a"] < f), r["a"], f)
+        z[:] = np.maximum(z, r["b"])
+    parts = sorted(sizes)
+    name = lambda p, at: (np.int64(p) << 40) + at
+    lengths = np.arange(most + 1)
+    meet = {q: _common(edges[p, sizes[p] - 1], edges[q, 0]) for p, q in zip(parts, parts[1:], strict=False)}
+    begin: dict[int, np.ndarray] = {}
+    for k, p in enumerate(parts):
+        own = np.full(most + 1, name(p, 0))
+        if k:
+            q = parts[k - 1]
+            reaching = np.where(last[q] >= 0, name(q, last[q]), begin[q])
+            own = np.where(lengths <= meet[p], reaching, own)
+        begin[p] = own
+    end: dict[int, np.ndarray] = {}
+    for k in range(len(parts) - 1, -1, -1):
+        p = parts[k]
+        own = np.full(most + 1, name(p, sizes[p] - 1))
+        if k + 1 < len(parts):
+            q = parts[k + 1]
+            reaching = np.where(first[q] >= 0, name(q, first[q] - 1), end[q])
+            own = np.where(lengths <= meet[q], reaching, own)
+        end[p] = own
+    return {p: (begin[p], end[p]) for p in parts}
+
+
+def shared_intervals(part: int, common: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """For the rows of a part: row, from, to, first, last of each interval of several rows that holds the row at the lengths from `from`
+    to `to`, between low and high. begin, end: the intervals of the part's first and last row, by length."""
+    n, lengths = len(common), np.arange(len(begin))
+    name = np.int64(part) << 40
+    blocks = list(range(0, n, ORDER_ROWS))
+    ends: list[np.ndarray] = [end] * len(blocks)  # of the interval that holds a block's last row
+    for k in range(len(blocks) - 1, 0, -1):
+        rows = common[blocks[k] : blocks[k] + ORDER_ROWS]
+        broken = rows[:, None] < lengths[None, :]
+        at = broken.argmax(axis=0)
+        ends[k - 1] = np.where(broken.any(axis=0), name + blocks[k] + at - 1, ends[k])
+    first = begin
+    for k, start in enumerate(blocks):
+        rows = common[start : start + ORDER_ROWS]
+        names = (name + start + np.arange(len(rows)))[:, None]
+        broken = rows[:, None] < lengths[None, :]
+        if not k:
+            broken[0] = False
+        lo = np.where(broken, names, -1)
+        lo[0] = np.maximum(lo[0], first)
+        lo = np.maximum.accumulate(lo, axis=0)
+        hi = np.full(lo.shape, np.iinfo(np.int64).max)
+        hi[:-1] = np.where(broken[1:], names[:-1], hi[:-1])
+        hi[-1] = ends[k]
+        hi = np.minimum.accumulate(hi[::-1], axis=0)[::-1]
+        first = lo[-1]
+        inside = (lengths >= low[start : start + len(rows), None]) & (lengths <= high[start : start + len(rows), None]) & (lo < hi)
+        same = np.zeros_like(inside)
+        same[:, 1:] = inside[:, 1:] & inside[:, :-1] & (lo[:, 1:] == lo[:, :-1]) & (hi[:, 1:] == hi[:, :-1])
+        starts = np.nonzero(inside & ~same)
+        after = np.zeros_like(same)
+        after[:, :-1] = same[:, 1:]
+        stops = np.nonzero(inside & ~after)
+        yield starts[0] + start, starts[1], stops[1], lo[starts], hi[starts]
+
+
+def _intervals(keyed: DataFrame, most: int) -> DataFrame:
+    """phrase, at, low, high, key -> phrase, at, a, b, first, last: the intervals of the order of keys that a phrase shares with others, at
+    common lengths from a to b within low and high."""
+    order = _ordered(keyed)
+    carried = _carried(order, most)
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-def _single_strings(contents: DataFrame, length: int) -> DataFrame:
-    """phrase, offset, times and MD5 of each string of each phrase."""
+        def done() -> Iterator[pa.RecordBatch]:
+            part = held[0].column(0)[0].as_py()
+            own = pa.Table.from_batches(held)
+            common, low, high = (own.column(c).to_numpy().astype(np.int32) for c in ("common", "low", "high"))
+            phrases, at = own.column("phrase").combine_chunks(), own.column("at").combine_chunks()
+            held.clear()
+            for row, a, b, lo, hi in shared_intervals(part, common, low, high, *carried[part]):
+                rows = pa.array(row)
+                for i in range(0, len(row), 10_000):
+                    cut = slice(i, i + 10_000)
+                    some = rows[cut]
+                    yield pa.RecordBatch.from_arrays([phrases.take(some), at.take(some), *(pa.array(x[cut], kind) for x, kind in zip((a, b, lo, hi), kinds[2:], strict=True))], ["phrase", "at", "a", "b", "first", "last"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, phrase, n, _, times, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums = [hashlib.md5(content[i : i + length]).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([phrase] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([times] * n, pa.int64()), pa.array(sums, pa.binary())], ["phrase", "offset", "times", "string"])
+            parts = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                if held and held[0].column(0)[0].as_py() != parts[i]:
+                    yield from done()
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield from done()
 
-    return contents.mapInArrow(run, "phrase binary, offset int, times long, string binary")
+    rows = order.select("part", "place", "phrase", "at", "low", "high", "common").repartition("part").sortWithinPartitions("part", "place")
+    return materialize(rows.mapInArrow(run, "phrase binary, at int, a int, b int, first long, last long"), "intervals")
 
 
 def _contents(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted phrases, each read at one of its places."""
-    by_text = wanted.groupBy("row").agg(F.collect_list(F.struct("trigger", "phrase", "n", "at", "times", "start")).alias("places"))  # of one text
+    """wanted: row, start, phrase, n, at -> phrase, n, at, ahead (the phrase's bytes from its trigger on), back (those before it, the last
+    first), each read at one of its places."""
+    by_text = wanted.groupBy("row").agg(F.collect_list(F.struct("phrase", "n", "at", "start")).alias("places"))  # of one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         for batch in batches:
             for raw, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = [(*(p[k] for k in ("trigger", "phrase", "n", "at", "times")), raw[p["start"] : p["start"] + p["n"] + length - 1]) for p in places]
-                for i in range(0, len(out), 2_000):
-                    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out[i : i + 2_000]], kind) for k, kind in enumerate(kinds)], ["trigger", "phrase", "n", "at", "times", "content"])
-
-    return texts.join(by_text, "row").select("raw", "places").mapInArrow(run, "trigger long, phrase binary, n int, at int, times long, content binary")
-
-
-def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+                for i in range(0, len(places), 2_000):
+                    out = []
+                    for p in places[i : i + 2_000]:
+                        trigger = p["start"] + p["at"]
+                        out.append((p["phrase"], p["n"], p["at"], raw[trigger : p["start"] + p["n"] + length - 1], raw[p["start"] : trigger][::-1]))
+                    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["phrase", "n", "at", "ahead", "back"])
+
+    return texts.join(by_text, "row").select("raw", "places").mapInArrow(run, "phrase binary, n int, at int, ahead binary, back binary")
+
+
+def _shared_strings(contents: DataFrame, length: int) -> DataFrame:
+    """phrase, first, last: the runs of strings of a phrase that other phrases have as well."""
+    first = F.col("at") - F.col("n") + 1  # bytes before the trigger in the last string
+    ahead = contents.select("phrase", "at", (length - F.col("at")).alias("low"), (length - first).alias("high"), F.col("ahead").alias("key"))
+    back = contents.select("phrase", "at", first.alias("low"), F.col("at").alias("high"), F.col("back").alias("key"))
+    right, left = _intervals(ahead, length), _intervals(back, length)
+    other = right.select("phrase", (length - F.col("b")).alias("from"), (length - F.col("a")).alias("to"), F.col("first").alias("r_first"), F.col("last").alias("r_last"))
+    pairs = left.join(other, "phrase").where("a <= to and from <= b")
+    pairs = pairs.select("phrase", (F.col("at") - F.least("b", "to")).alias("start"), (F.col("at") - F.greatest("a", "from")).alias("stop"), "first", "last", "r_first", "r_last")
+    names = ["first", "last", "r_first", "r_last"]
+    pairs = materialize(pairs, "string-intervals")
+    several = pairs.groupBy(*names).count().where("count > 1").select(*names)
+    return pairs.join(several, names).select("phrase", F.col("start").alias("first"), F.col("stop").alias("last"))
+
+
+def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """row, raw -> row, start, runs: for each phrase with repeated strings the place of its first string, and the runs
     (first, last; from start) of strings of `length` bytes that occur twice or more."""
     runs = materialize(_parsed(texts, length, gram), "phrases")
     again = runs.groupBy("trigger").count().where("count > 1").select("trigger")
     parts = materialize(runs.join(again, "trigger"), "repeat-candidates")
+    drop_scratch(runs)
     phrases = parts.groupBy("phrase").agg(*[F.first(c).alias(c) for c in ("trigger", "n", "at")], F.count("*").alias("times"), F.min(F.struct("row", "start")).alias("place"))
     phrases = materialize(phrases.select("phrase", "trigger", "n", "at", "times", "place.row", "place.start"), "dictionary")
-    open_triggers = phrases.groupBy("trigger").agg(F.count("*").alias("variants"), F.min("times").alias("fewest")).where("variants > 1 and fewest = 1").select("trigger", "variants")
-    wanted = phrases.join(open_triggers, "trigger")
-    columns = ["trigger", "phrase", "n", "at", "times", "content"]
-    cold = _contents(texts, wanted.where(F.col("variants") <= hot), length).repartition("trigger").sortWithinPartitions("trigger")
-    known = _compare(cold.select(columns), length)
-    strings = _single_strings(_contents(texts, wanted.where(F.col("variants") > hot), length).select(columns), length)
-    strings = materialize(strings, "strings")
-    twice = strings.groupBy("string").agg(F.sum("times").alias("n")).where("n > 1").select("string")
-    along = Window.partitionBy("phrase").orderBy("offset")  # of one phrase, which has as many strings as a trigger reaches
-    single = strings.where("times = 1").join(twice, "string").select("phrase", "offset", (F.col("offset") - F.row_number().over(along)).alias("run"))
-    single = single.groupBy("phrase", "run").agg(F.min("offset").alias("first"), F.max("offset").alias("last")).select("phrase", "first", "last")
+    open_triggers = phrases.groupBy("trigger").agg(F.count("*").alias("variants"), F.min("times").alias("fewest")).where("variants > 1 and fewest = 1").select("trigger")
+    # A join that is followed by none of its key, so a trigger of very many phrases is split over tasks.
+    wanted = materialize(phrases.join(open_triggers, "trigger").select("row", "start", "phrase", "n", "at"), "open-phrases")
+    contents = materialize(_contents(texts, wanted, length), "phrase-contents")
+    drop_scratch(wanted)
+    known = _shared_strings(contents, length)
     whole = phrases.where("times > 1").select("phrase", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
-    found = known.unionByName(single).unionByName(whole).groupBy("phrase").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    return parts.join(materialize(found, "repeated-strings"), "phrase").select("row", "start", "runs")
+    found = known.unionByName(whole).groupBy("phrase").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    found = materialize(found, "repeated-strings")
+    for part in (phrases, contents):
+        drop_scratch(part)
+    return parts.join(found, "phrase").select("row", "start", "runs")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """id_col, n_bytes, n_removed, spans (removed runs of bytes, half-open, maximal) and kept (the remaining bytes)."""
     small_batches(docs.sparkSession)
     keyed = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "row")
     texts = keyed.select("row", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
-    gone = find_repeats(texts, length, gram, hot).groupBy("row").agg(F.collect_list(F.struct("start", "runs")).alias("gone"))  # of one text
+    gone = find_repeats(texts, length, gram).groupBy("row").agg(F.collect_list(F.struct("start", "runs")).alias("gone"))  # of one text
     named = keyed.select("row", "id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
