@@ -173,20 +173,24 @@ class Model:
 
 
 def sample(labelled: DataFrame, text_col: str, lang_col: str, sample_bytes: int) -> dict[str, list[bytes]]:
-    """At most sample_bytes bytes of each language, on the driver: the labelled sample that the bound allows."""
+    """At most sample_bytes bytes of each language, on the driver: the labelled sample that the bound allows.
+
+    Copies count once, and no text counts for more than sample_bytes; longer ones are cut before they are collected.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(text_col), F.lit(1 << 31)).alias("at")
+        F.col(lang_col).alias("lang"), F.substring(text_col, 1, sample_bytes).alias("text"), F.shiftrightunsigned(F.xxhash64(text_col), 2).alias("at")
     )
-    sizes = {r["lang"]: r["bytes"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()}
+    each = rows.select("lang", "at", F.least(F.octet_length("text"), F.lit(sample_bytes)).cast("long").alias("n")).dropDuplicates(["lang", "at"])
+    sizes = {r["lang"]: r["bytes"] for r in each.groupBy("lang").agg(F.sum("n").alias("bytes")).collect()}
     if not sizes:
         return {}
-    limit = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, 2 * sample_bytes / n) * (1 << 31)))])
-    chosen = rows.where(F.col("at") < limit[F.col("lang")]).dropDuplicates(["lang", "at"])
+    limit = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, 2 * sample_bytes / n) * (1 << 62)))])
+    chosen = rows.where(F.col("at") <= limit[F.col("lang")]).dropDuplicates(["lang", "at"])
     found: dict[str, list[tuple[int, str]]] = {name: [] for name in sizes}
     for r in chosen.collect():
         found[r["lang"]].append((r["at"], r["text"]))
     if missing := [name for name, texts in found.items() if not texts]:
-        first = F.min_by(F.substring("text", 1, sample_bytes), "at")
+        first = F.min_by("text", "at")
         for r in rows.where(F.col("lang").isin(missing)).groupBy("lang").agg(first.alias("text")).collect():
             found[r["lang"]].append((0, r["text"]))
     out: dict[str, list[bytes]] = {}

@@ -22,9 +22,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,7 @@ from .common import materialize, small_batches
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
+#: A record holds one segment at most, so a file has some 35 MB before compression, however long the pages are.
 RECORDS_PER_FILE = 2_000
 DATE = "2026-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -133,22 +136,23 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
-def plain(data: bytes) -> bytes:
-    """An archive's bytes, decompressed if it is gzipped, as a whole or record by record."""
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+def opened(data: bytes) -> IO[bytes]:
+    """An archive as a stream, decompressed as it is read if it is gzipped, as a whole or record by record."""
+    return gzip.open(io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
 
 
-def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields (names in lower case) and block of each record of an archive."""
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+def split_records(archive: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields (names in lower case) and block of each record of an archive, one at a time; one that is cut off within its fields is left out."""
+    while line := archive.readline():
+        if not line.startswith(b"WARC/1."):
+            continue
+        head = []
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            head.append(line)
+        if not line:
             return
-        fields = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(data, data.find(b"\r\n", at) + 2, end + 2)}
-        size = int(fields.get("content-length", 0))
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        fields = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(b"".join(head))}
+        yield fields, archive.read(int(fields.get("content-length", 0)))
 
 
 def payload_of(block: bytes) -> bytes | None:
@@ -200,7 +204,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
         for batch in batches:
             for data in batch.column(0):
                 rows: list[tuple] = []
-                for f, block in split_records(plain(data.as_py())):
+                for f, block in split_records(opened(data.as_py())):
                     rows.append(row(f, block))
                     if len(rows) >= 500:
                         yield _batch(rows, schema)

@@ -45,3 +45,26 @@ def test_stages_keep_the_columns(spark, tables):
         assert stage(spark, docs, path).columns == docs.columns
         assert stage(spark, docs.where("false"), path).collect() == []
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "minhash_neardup", "decontamination", "byte_bpe"]
+
+
+def test_stages_leave_the_callers_columns(spark, tables):
+    """Columns named as what operators add pass through, whatever their case; a very long text and repeated rows do no harm."""
+    path, texts = tables
+    long = words(99, 30_000)
+    rows = [(k, t, "en", "s", len(t or ""), f"own {k}", k, [k], k + 0.5) for k, t in [*texts.items(), (20, long), (20, long)]]
+    names = "n_words, Score, items, n_lines, N_removed, bits_per_byte".split(", ")
+    docs = spark.createDataFrame([(*r, r[5], r[6]) for r in rows], SCHEMA + ", n_words string, Score long, items array<long>, n_lines double, N_removed string, bits_per_byte long")
+    docs.write.parquet(f"{path}/wide.parquet")
+    docs = spark.read.parquet(f"{path}/wide.parquet")
+    own = {(r["doc_id"], *(str(r[c]) for c in names)) for r in docs.collect()}
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.schema.names == docs.schema.names
+        kept = out.collect()
+        assert {(r["doc_id"], *(str(r[c]) for c in names)) for r in kept} <= own
+        left[name] = sorted(r["doc_id"] for r in kept)
+    assert left["language_id"] == [1, 2, 3, 4, 5, 6, 10, 11, 12, 20, 20]
+    assert left["minhash_neardup"] == [1, 2, 4, 5, 6, 7, 8, 9, 11, 12, 20]
+    assert left["decontamination"] == [1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 20, 20]
+    assert left["line_dedup"] == [1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 20] or left["line_dedup"] == [1, 2, 4, 5, 6, 7, 8, 9, 11, 12, 20]

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import pytest
 
@@ -43,7 +44,7 @@ def test_empty(spark):
 def test_damage_is_found():
     records = warc.response_records("1", 0, "u", b"payload " * 500, 1_000)
     parts = []
-    for fields, block in warc.split_records(b"".join(records)):
+    for fields, block in warc.split_records(warc.opened(b"".join(records))):
         total = fields.get("warc-segment-total-length")
         parts.append({"type": fields["warc-type"], "id": "1", "uri": "u", "refers_to": None, "segment": int(fields["warc-segment-number"]), "total_length": int(total) if total else None, "block": block, "block_ok": True, "want": fields.get("warc-payload-digest", "")[5:] or None})
     assert [r[-1] for r in warc.assemble(parts[::-1], True)] == [True]
@@ -58,3 +59,14 @@ def test_chunked_framing():
     assert warc.unframe_chunks(b"5;name=x\r\nhello\r\n0\r\nTrailer: y\r\n\r\n") == b"hello"
     for broken in (b"", b"5\r\nhell", b"zz\r\nhello\r\n0\r\n\r\n", b"5\r\nhello0\r\n\r\n", b"5\r\nhello\r\n"):
         assert warc.unframe_chunks(broken) is None
+
+
+def test_large_pages_in_bounded_files(spark, tmp_path):
+    """Pages of a megabyte and more are cut to records, so the archives stay small."""
+    html = [random.Random(i).randbytes(600_000).hex() for i in range(40)]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/warc", compression="none")
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(f"{tmp_path}/warc").select("length").collect()]
+    assert len(sizes) > 1 and max(sizes) <= warc.RECORDS_PER_FILE * (warc.SEGMENT_BYTES + 1_000)
+    found = warc.read_archives(spark, f"{tmp_path}/warc").collect()
+    assert {(int(r["id"]), bytes(r["payload"]).decode(), r["valid"]) for r in found} == {(i, h, True) for i, h in enumerate(html)}
