@@ -303,16 +303,19 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     """row, raw -> row, start, runs: for each phrase with repeated strings the place of its first string, and the runs
     (first, last; from start) of strings of `length` bytes that occur twice or more."""
     runs = materialize(_parsed(texts, length, gram), "phrases")
-    again = runs.groupBy("trigger").count().where("count > 1").select("trigger")
+    # Joins with written tables on both sides: a trigger of very many phrases is then split over tasks.
+    again = materialize(runs.groupBy("trigger").count().where("count > 1").select("trigger"), "repeated-triggers")
     parts = materialize(runs.join(again, "trigger"), "repeat-candidates")
-    drop_scratch(runs)
+    for part in (runs, again):
+        drop_scratch(part)
     phrases = parts.groupBy("phrase").agg(*[F.first(c).alias(c) for c in ("trigger", "n", "at")], F.count("*").alias("times"), F.min(F.struct("row", "start")).alias("place"))
     phrases = materialize(phrases.select("phrase", "trigger", "n", "at", "times", "place.row", "place.start"), "dictionary")
     open_triggers = phrases.groupBy("trigger").agg(F.count("*").alias("variants"), F.min("times").alias("fewest")).where("variants > 1 and fewest = 1").select("trigger")
-    # A join that is followed by none of its key, so a trigger of very many phrases is split over tasks.
+    open_triggers = materialize(open_triggers, "open-triggers")
     wanted = materialize(phrases.join(open_triggers, "trigger").select("row", "start", "phrase", "n", "at"), "open-phrases")
     contents = materialize(_contents(texts, wanted, length), "phrase-contents")
-    drop_scratch(wanted)
+    for part in (wanted, open_triggers):
+        drop_scratch(part)
     known = _shared_strings(contents, length)
     whole = phrases.where("times > 1").select("phrase", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
     found = known.unionByName(whole).groupBy("phrase").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
