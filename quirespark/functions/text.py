@@ -89,9 +89,17 @@ def pipe_table(rows: Column) -> Column:
     return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
 
 
-def page_marker(label: Column, last: Column) -> Column:
-    """What closes a page in Markdown."""
-    return F.concat(F.lit("\n\n*— side "), label, F.lit(" —*"), F.when(last, "\n").otherwise("\n\n---\n\n"))
+def page_marker(label: Column, last: Column, notes: Column | None = None) -> Column:
+    """What closes a page in Markdown: its notes (an array), if it has any, and its label."""
+    marker = F.concat(F.lit("\n\n*— side "), label, F.lit(" —*"), F.when(last, "\n").otherwise("\n\n---\n\n"))
+    if notes is None:
+        return marker
+    return F.concat(F.when(F.size(notes) > 0, F.concat(F.lit("\n\n---\n"), F.array_join(notes, "\n\n"))).otherwise(""), marker)
+
+
+def heading_markup(text: Column, level: Column) -> Column:
+    """A paragraph with the signs of its heading level; without one (null), what would read as markup is escaped."""
+    return F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text)).when(text.rlike("^[#>]"), F.concat(F.lit("\\"), text)).otherwise(text)
 
 
 def figure_name(stem: Column, page: Column, n: Column, ext: Column) -> Column:

@@ -102,8 +102,11 @@ def facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, page, box, gutter, slots from progress logs with lines like `page 3: box 10,20,300,400 gutter 155 slots 2`."""
-    rows = spark.read.text(path).select(file_stem(F.input_file_name()).alias("file"), "value")
-    number = lambda pattern: F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).cast("int")
-    box = F.transform(F.split(F.nullif(F.regexp_extract("value", r"box (-?\d+(?:,-?\d+){3})", 1), F.lit("")), ","), lambda x: x.cast("int"))
-    return rows.select("file", number(r"page (\d+)").alias("page"), box.alias("box"), number(r"gutter (\d+)").alias("gutter"), number(r"slots (\d+)").alias("slots")).where("page is not null")
+    """file, page, box (null where none), gutter, slots from progress logs: lines `f1 12: ... box Some([10, 20, 300, 400]) ... gutter
+    Some((155, ...` or `None`, and lines `f1 12: ... deskew [0.1, 0.2]` with a value for each slot; joined by file and page."""
+    rows = spark.read.text(path).select(F.regexp_extract("value", r"^(\S+) \d+:", 1).alias("file"), F.regexp_extract("value", r"^\S+ (\d+):", 1).alias("page"), "value").where("file <> ''")
+    box = F.transform(F.split(F.nullif(F.regexp_extract("value", r"box Some\(\[(\d+, \d+, \d+, \d+)\]\)", 1), F.lit("")), ", "), lambda x: x.cast("int"))
+    gutter = F.nullif(F.regexp_extract("value", r"gutter Some\(\((\d+),", 1), F.lit("")).cast("int")
+    slots = F.size(F.split(F.nullif(F.regexp_extract("value", r"deskew \[([^\]]*)\]", 1), F.lit("")), ","))
+    each = rows.select("file", F.col("page").cast("int").alias("page"), box.alias("box"), gutter.alias("gutter"), F.when(F.col("value").contains("deskew ["), slots).alias("slots"))
+    return each.groupBy("file", "page").agg(*[F.max(c).alias(c) if c != "box" else F.first(c, ignorenulls=True).alias(c) for c in ("box", "gutter", "slots")])

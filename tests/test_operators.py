@@ -88,10 +88,52 @@ def test_kernels():
     ramp = np.random.default_rng(1).random((300, 400))
     ramp[100:200] *= 0.3
     assert np.abs(raster.gauss(ramp, 30.0) - raster._blur(ramp, 30.0)).max() < 2e-3
-    x0, y0, x1, y1 = raster.content_box(lines_page() < 0.6)
+    letters = (lines_page() < 0.6) & (np.arange(600) % 2 == 0)  # whole lines are darker than text
+    x0, y0, x1, y1 = raster.content_box(letters)
     assert abs(x0 - 53) <= 2 and abs(x1 - 547) <= 2 and 30 <= y0 <= 45 and 340 <= y1 <= 370
 
 
+def test_content_box_leaves_bands_out():
+    letters = (lines_page() < 0.6) & (np.arange(600) % 2 == 0)
+    banded = letters.copy()
+    banded[:22, ::3] = True  # a dark edge
+    assert raster.content_box(banded)[1] >= 22 and raster.content_box(banded) == raster.content_box(letters)
+    head = letters.copy()
+    head[14:20, 200:260:2] = True  # a running head in the outer tenth stays: it is low and has no long segments
+    assert raster.content_box(head)[1] <= 14
+    assert raster.content_box(np.zeros((50, 50), bool)) is None
+    assert raster.long_share(np.array([[1, 1, 1, 0, 1]], bool), 3) == 0.75
+
+
+def test_orientation_by_tiles():
+    rng = np.random.default_rng(5)
+    page = np.ones((600, 600))
+    for top in range(20, 560, 24):
+        page[top : top + 5, 30:570], page[top + 5 : top + 13, 30:570], page[top + 13 : top + 15, 30:570] = 0.9, 0.66, 0.98
+    for turns in range(4):
+        turn, sure = raster.orientation(raster.quarter_turns(page, turns))
+        assert turn == (360 - 90 * turns) % 360 and sure > 0.25
+    picture = page.copy()
+    picture[:, 300:420] = rng.random((600, 120)) * 0.4  # dark tiles do not count
+    assert raster.orientation(picture)[0] == 0
+    assert raster.orientation(np.zeros((300, 300))) == (0, 0.0)
+
+
+def test_logs(spark, tmp_path):
+    (tmp_path / "geom.log").write_text("f1 12: turn 0 box Some([10, 20, 300, 400]) conf 2.1 gutter Some((155, 12))\nf1 13: box Some([1, 2, 3, 4]) gutter None\nnoise\n")
+    (tmp_path / "slots.log").write_text("f1 12: deskew [0.1, -0.2]\nf1 13: deskew [0.0]\n")
+    found = readers.log_lines(spark, str(tmp_path)).orderBy("page").collect()
+    assert [tuple(r) for r in found] == [("f1", 12, [10, 20, 300, 400], 155, 2), ("f1", 13, [1, 2, 3, 4], None, 1)]
+
+
+def test_heading_levels_and_markers(spark):
+    rows = [("d", 1, 0, "Title", True, 1, True), ("d", 2, 1, "A bold line", False, 2, True), ("d", 3, 2, "# not a heading", False, 2, False), ("d", 4, 3, "Ends here.", False, 2, True)]
+    table = spark.createDataFrame(rows, "doc string, para int, line int, text string, heading boolean, level int, bold boolean")
+    assert [r["text"] for r in paragraphs.paragraphs(table, 3).orderBy("para").collect()] == ["# Title", "### A bold line", "\\# not a heading", "Ends here."]
+    marker = spark.range(1).select(T.page_marker(F.lit("7"), F.lit(True), F.array(F.lit("1 a"), F.lit("2 b"))).alias("m"), T.page_marker(F.lit("7"), F.lit(True), F.array().cast("array<string>")).alias("e")).first()
+    assert marker["m"] == "\n\n---\n1 a\n\n2 b\n\n*— side 7 —*\n" and marker["e"] == "\n\n*— side 7 —*\n"
+
+
 def test_components():
     mask = np.zeros((9, 9), bool)
     mask[1, 1:4] = mask[2, 4] = mask[3, 5] = mask[6:8, 6:8] = mask[8, 0] = True
@@ -100,6 +142,11 @@ def test_components():
     band[5:95, 2:5] = True
     band[40:60, 45:60] = True
     assert raster.clear_edge_bands(band).sum() == 300
+    bent = band.copy()
+    bent[5:95, 2:5] = False
+    bent[5:95, 2] = bent[90:95, 2:24] = True  # an L, and a letter in its box that is not its own
+    bent[20:24, 12:16] = True
+    assert raster.clear_edge_bands(bent).sum() == 300 + 16
 
 
 def test_kernel_over_pages(spark):
