@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import boxes as B
-from ..operators import glyphs, headers, layout, profiles
+from ..operators import glyphs, headers, layout, profiles, raster
 from .queries import _PROFILE, _profile, query, table
 
 # --- fragments: documents as fragments of pages of sixteen -----------------------------------------------------------------
@@ -251,3 +251,55 @@ def tile_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def usable_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda a: F.transform(F.slice("embedding", a, 8), lambda v: F.abs(v.cast("double")))
     return profiles.usable_tiles(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), part(1).alias("rows"), part(9).alias("cols")), 0.3).select("key")
+
+
+# --- rasters: vectors as pages of 8 x 8 grey points -------------------------------------------------------------------------
+
+_GREY = "g AS (SELECT vec_id AS doc, unnest(range(64))::INT AS i, round(least(1.0, abs(unnest(embedding)::DOUBLE) * 3) * 255)::INT AS v FROM embeddings)"
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    point = lambda v: F.lpad(F.hex(F.round(F.least(F.lit(1.0), F.abs(v.cast("double")) * 3) * 255).cast("int")), 2, "0")
+    px = F.unhex(F.array_join(F.transform("embedding", point), ""))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.lit(1).alias("page"), F.lit(8).alias("w"), F.lit(8).alias("h"), px.alias("px"))
+
+
+def _points(spark: SparkSession, sf_dir: str, kernel) -> DataFrame:
+    """doc, y, x, v of what a kernel makes of each raster."""
+    found = raster.map_pages(_rasters(spark, sf_dir), lambda v: {"rows": [[float(x) for x in r] for r in kernel(v)]}, "doc long, page int, rows array<array<double>>")
+    each = found.select("doc", F.posexplode("rows").alias("y", "row"))
+    return each.select("doc", "y", F.posexplode("row").alias("x", "v")).select("doc", "y", "x", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {_GREY} SELECT doc, (i // 8 // 2)::INT AS y, (i % 8 // 2)::INT AS x, round(avg(v / 255.0::DOUBLE), 6) AS v FROM g GROUP BY ALL")
+def raster_downsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir, lambda v: raster.downsample(v, 2))
+
+
+@query(f"WITH {_GREY} SELECT doc, (i % 8)::INT AS y, (7 - i // 8)::INT AS x, round(v / 255.0::DOUBLE, 6) AS v FROM g")
+def raster_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir, lambda v: raster.quarter_turns(v, 1))
+
+
+@query(f"WITH {_GREY} SELECT doc, (i // 8 - 2)::INT AS y, (i % 8 - 1)::INT AS x, round(v / 255.0::DOUBLE, 6) AS v FROM g WHERE i // 8 BETWEEN 2 AND 6 AND i % 8 BETWEEN 1 AND 5")
+def raster_cropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir, lambda v: raster.crop(v, (1, 2, 6, 7)))
+
+
+@query(f"WITH {_GREY} SELECT doc, (i // 8)::INT AS y, 0 AS x, round(floor(avg((v < 60)::INT) * 255 + 0.5) / 255, 6) AS v FROM g GROUP BY doc, i // 8")
+def raster_row_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir, lambda v: raster.density(v * 255 < 59.5, 1)[:, None])
+
+
+@query(f"""WITH {_GREY}, s AS (SELECT doc, (i // 8 * 2 + dy)::INT AS y, (i % 8 * 2 + dx)::INT AS x, v FROM g CROSS JOIN (SELECT unnest([0, 1]) AS dy) CROSS JOIN (SELECT unnest([0, 1]) AS dx))
+SELECT doc, y, x, round(v / 255.0::DOUBLE, 6) AS v FROM s""")
+def raster_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page at twice its size, unsmoothed."""
+    return _points(spark, sf_dir, lambda v: raster.nearest_map(v, (0.5, 0, 0, 0.5, 0, 0), 16, 16))
+
+
+@query(f"""WITH {_GREY} SELECT doc, y::INT AS y, x::INT AS x, round(coalesce(v / 255.0::DOUBLE, 1.0), 6) AS v FROM (SELECT DISTINCT doc FROM g) CROSS JOIN (SELECT unnest(range(11)) AS y) CROSS JOIN (SELECT unnest(range(10)) AS x)
+  LEFT JOIN (SELECT doc AS d, i // 8 + 3 AS gy, i % 8 + 4 AS gx, v FROM g) ON d = doc AND gy = y AND gx = x""")
+def raster_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page at its place on a larger canvas; what reaches beyond is cut off."""
+    return _points(spark, sf_dir, lambda v: raster.placed(v, 4, 3, 10, 11))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import figure_name
+
 
 def markdown(pages: DataFrame, path: str) -> None:
     """One text file below path for each document: pages has doc, page and markdown (page markers included)."""
@@ -33,10 +38,74 @@ def review(planned: DataFrame) -> DataFrame:
 def png(w: int, h: int, rgb: bytes) -> bytes:
     """An 8-bit RGB image as PNG."""
     import struct
-    import zlib
 
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     rows = b"".join(b"\0" + rgb[y * 3 * w : (y + 1) * 3 * w] for y in range(h))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 9)) + chunk(b"IEND", b"")
+
+
+#: The width of a letter and the height of a line of the invisible text, in sizes, and how far its baseline lies above the box's foot.
+LETTER, LINE, BASELINE = 0.6, 0.786, 0.157
+
+
+def invisible_text(lines: list[dict], height: float) -> bytes:
+    """Text that is found but not seen: each line (s, x0, y0, x1, y1 from the top, in points) fills its box, stretched sideways."""
+    out = []
+    for line in lines:
+        raw = bytes(line["s"])
+        size = (line["y1"] - line["y0"]) / LINE
+        if not raw or size <= 0 or line["x1"] <= line["x0"]:
+            continue
+        stretch = 100 * (line["x1"] - line["x0"]) / (LETTER * size * len(raw))
+        shown = b"".join(b"\\" + bytes([c]) if c in b"()\\" else bytes([c]) for c in raw)
+        out.append(b"%.2f Tz /F1 %.2f Tf 1 0 0 1 %.2f %.2f Tm (%s) Tj" % (stretch, size, line["x0"], height - line["y1"] + BASELINE * size, shown))
+    return b"BT 3 Tr " + b" ".join(out) + b" ET" if out else b""
+
+
+def pdf(pages: list[dict]) -> bytes:
+    """A PDF with an image for each page. A page has w, h (points), iw, ih (pixels), grey (one byte a pixel), lines (invisible_text())."""
+    objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(pages), b" ".join(b"%d 0 R" % (4 + 3 * k) for k in range(len(pages)))), b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"]
+    for k, page in enumerate(pages):
+        first = 4 + 3 * k
+        w, h = page["w"], page["h"]
+        lines = page.get("lines")
+        drawn = b"q %.2f 0 0 %.2f 0 0 cm /Im0 Do Q " % (w, h) + invisible_text([] if lines is None else list(lines), h)
+        image = zlib.compress(page["grey"])
+        objects += [
+            b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %.2f %.2f] /Resources << /XObject << /Im0 %d 0 R >> /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (w, h, first + 2, first + 1),
+            b"<< /Length %d >>\nstream\n%s\nendstream" % (len(drawn), drawn),
+            b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceGray /BitsPerComponent 8 /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (page["iw"], page["ih"], len(image), image),
+        ]
+    out, places = [b"%PDF-1.4\n"], []
+    at = len(out[0])
+    for n, body in enumerate(objects, 1):
+        places.append(at)
+        out.append(b"%d 0 obj\n%s\nendobj\n" % (n, body))
+        at += len(out[-1])
+    out.append(b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places))
+    out.append(b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, at))
+    return b"".join(out)
+
+
+def pdf_documents(pages: DataFrame) -> DataFrame:
+    """doc, n_pages, content: a PDF of each document's pages in order. pages: doc, page, w, h, iw, ih, grey, and lines or none.
+
+    A document is one group, as its file is one value.
+    """
+    if "lines" not in pages.columns:
+        pages = pages.withColumn("lines", F.array().cast("array<struct<s:binary,x0:double,y0:double,x1:double,y1:double>>"))
+
+    def build(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        rows = own.sort_values("page").to_dict("records")
+        return pd.DataFrame({"doc": [key[0]], "n_pages": [len(rows)], "content": [pdf(rows)]})
+
+    kind = dict(pages.dtypes)["doc"]
+    return pages.groupBy("doc").applyInPandas(build, f"doc {kind}, n_pages int, content binary")
+
+
+def figure_files(figures: DataFrame) -> DataFrame:
+    """name, content of figures (stem, page, n, ext, content): <stem>_p<page>_<n>.<ext>. Rows rather than files: what stores them
+    decides where, as a folder of one machine is none for a cluster."""
+    return figures.select(figure_name(F.col("stem"), F.col("page"), F.col("n"), F.col("ext")).alias("name"), "content")

@@ -205,3 +205,48 @@ def test_headers_go_by_the_share_of_pages(spark):
     left = headers.without_headers(headers.lines(spark.createDataFrame(rows, "s string, p int, t string"), "s", "p", "t"))
     texts = [r["text"] for r in left.collect()]
     assert [texts.count(x) for x in ("seldom", "head", "near", "often")] == [2, 0, 5, 0]
+
+
+def test_colour_slots():
+    rgb = np.arange(6 * 8 * 3, dtype=np.uint8).reshape(6, 8, 3)
+    assert (raster.colour_cut(rgb, (2, 1, 6, 5), 0.0, 1.0) == rgb[1:5, 2:6]).all()
+    slot = raster.colour_slot(rgb, 20, 10, 0.5)
+    assert slot.shape == (6, 12, 3) and (slot[:, 2:10] == rgb).all() and (slot[:, :2] == 255).all()
+    turned = raster.colour_cut(rgb, (0, 0, 8, 6), 30.0, 1.0)
+    assert turned.shape == (10, 10, 3)
+    assert [c.shape[:2] for c in raster.figure_cuts(rgb, [(0, 0, 2, 2), (0, 0, 0.5, 3), (1, 1, 3, 2)], 2.0)] == [(4, 4), (2, 4)]
+
+
+def test_loaded_pages():
+    v = np.array([[0.0, 1.0], [1.0, 0.0]])
+    twice = raster.loaded(v, (0.5, 0, 0, 0.5, 0, 0), 4, 4, False)
+    assert (twice == np.kron(v, np.ones((2, 2)))).all()
+    smooth = raster.loaded(v, (0.5, 0, 0, 0.5, 0, 0), 4, 4, True)
+    assert 0 < smooth[0, 1] < 1 and (raster.loaded(v, (1, 0, 0, 1, 0, 0), 2, 2, True) == v).all()
+
+
+def test_sliver_half():
+    mask = np.zeros((400, 1000), bool)
+    mask[40:360:8, 560:940:2] = mask[41:360:8, 560:940:2] = mask[42:360:8, 560:940:2] = True
+    mask[100:132:8, 100:480:2] = mask[101:132:8, 100:480:2] = mask[102:132:8, 100:480:2] = True
+    assert raster.spread_box(mask, (450, 30, 950, 370), 500)[0] < 110 and raster.spread_box(mask, (450, 30, 950, 370), 500)[2] == 950
+    assert raster.spread_box(mask, (100, 30, 950, 370), 500) == (100, 30, 950, 370)
+
+
+def test_pdf(spark, tmp_path):
+    line = [(b"a (b)", 10.0, 20.0, 110.0, 32.0)]
+    kinds = "doc string, page int, w double, h double, iw int, ih int, grey binary, lines array<struct<s:binary,x0:double,y0:double,x1:double,y1:double>>"
+    rows = [("d", 2, 200.0, 300.0, 2, 1, b"\x00\xff", line), ("d", 1, 200.0, 300.0, 1, 2, b"\x10\x20", None), ("e", 1, 50.0, 60.0, 1, 1, b"\x80", [])]
+    found = {r["doc"]: r for r in writers.pdf_documents(spark.createDataFrame(rows, kinds)).collect()}
+    assert {k: r["n_pages"] for k, r in found.items()} == {"d": 2, "e": 1}
+    content = bytes(found["d"]["content"])
+    places = [int(x[:10]) for x in content[content.rindex(b"xref\n0") :].split(b"\n")[3:] if x.endswith(b" n ")]
+    assert len(places) == 9 and all(content[p:].startswith(b"%d 0 obj" % n) for n, p in enumerate(places, 1))
+    assert content.index(b"/Width 1 ") < content.index(b"/Width 2 ") and b"3 Tr" in content and b"(a \\(b\\)) Tj" in content
+    (tmp_path / "d.pdf").write_bytes(content)
+    assert [r["n_pages"] for r in readers.n_pages(readers.documents(spark, str(tmp_path))).collect()] == [2]
+
+
+def test_figure_files(spark):
+    table = spark.createDataFrame([("book", 3, 1, "png", bytearray(b"xyz"))], "stem string, page int, n int, ext string, content binary")
+    assert [(r["name"], bytes(r["content"])) for r in writers.figure_files(table).collect()] == [("book_p3_1.png", b"xyz")]
