@@ -173,3 +173,10 @@ def class_matrix(scored: DataFrame, by: list[str]) -> DataFrame:
     sums = ranked.groupBy(*key).agg(F.sum("p").alias("pos"), F.sum("m").alias("neg"), F.sum(F.col("p") * (F.col("below") + F.col("m") / 2)).alias("u"))
     u = F.col("u") / (F.col("pos") * F.col("neg"))
     return sums.select(*by, F.col("c").alias("positive"), F.col("d").alias("negative"), F.round(F.greatest(u, 1 - u), 6).alias("auc"))
+
+
+def markers_in_place(a: DataFrame, b: DataFrame, last: int = 10) -> DataFrame:
+    """doc, label, in_place: for markers of the same label in two notes (doc, label, w: the words before), whether the last words are the same."""
+    other = b.select("doc", "label", F.slice("w", -F.least(F.lit(last), F.size("w")), last).alias("o"))
+    end = F.slice("w", -F.least(F.lit(last), F.size("w")), last)
+    return a.where(F.size("w") > 0).select("doc", "label", end.alias("e")).join(other, ["doc", "label"]).select("doc", "label", (F.col("e") == F.col("o")).alias("in_place"))

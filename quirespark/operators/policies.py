@@ -94,3 +94,40 @@ def orientation_scores(found: DataFrame, least: float) -> DataFrame:
     right = (360 - F.col("turn")) % 360
     final = F.when(F.col("conf") >= least, F.col("own")).otherwise(F.coalesce("vote", F.lit(0)))
     return found.join(vote, ["doc", "turn"], "left").groupBy("turn").agg(F.count("*").alias("pages"), F.count_if(F.col("own") == right).alias("alone"), F.count_if(final == right).alias("final"))
+
+
+#: Ink colours: bins of the hue circle, the least share of a bin that counts, and of a cluster.
+HUE_BINS, HUE_LEAST, HUE_CLUSTER = 36, 0.02, 0.05
+
+
+def hue_bins(pixels: DataFrame, chroma: int) -> DataFrame:
+    """key, bin, n, share: how the hues of a page's coloured points (chroma or more between their largest and least part) are spread.
+
+    pixels: key, r, g, b, and n (how many points are so).
+    """
+    r, g, b = (F.col(c).cast("double") for c in "rgb")
+    most, d = F.greatest(r, g, b), F.greatest(r, g, b) - F.least(r, g, b)
+    sixth = F.when(most == r, F.pmod((g - b) / d, F.lit(6.0))).when(most == g, (b - r) / d + 2).otherwise((r - g) / d + 4)
+    coloured = pixels.where(d >= chroma).select("key", F.pmod(F.floor(sixth * 60 / (360 / HUE_BINS)), F.lit(HUE_BINS)).cast("int").alias("bin"), "n")
+    counted = coloured.groupBy("key", "bin").agg(F.sum("n").alias("n"))
+    return counted.join(counted.groupBy("key").agg(F.sum("n").alias("all")), "key").select("key", "bin", "n", (F.col("n") / F.col("all")).alias("share"))
+
+
+def hue_clusters(bins: DataFrame) -> DataFrame:
+    """key, k (runs of the circle, smoothed by 1, 2, 1, that hold HUE_LEAST in each bin and HUE_CLUSTER together) and top2 (the share of the
+    best three neighbouring bins and of the best others that do not touch them)."""
+    filled = bins.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sum("n").alias("all"))  # of one page
+    around = F.sequence(F.lit(0), F.lit(HUE_BINS - 1))
+    hist = filled.select("key", "all", F.transform(around, lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("h"))
+    at = lambda i: F.get("h", F.pmod(i, F.lit(HUE_BINS)))
+    drawn = hist.select("key", "all", "h", F.transform(around, lambda i: (at(i - 1) + 2 * at(i) + at(i + 1)) / 4 >= HUE_LEAST * F.col("all")).alias("on"), F.transform(around, lambda i: F.struct((at(i - 1) + at(i) + at(i + 1)).alias("w"), (-i).alias("minus"))).alias("windows"))
+    on = lambda i: F.get("on", F.pmod(i, F.lit(HUE_BINS)))
+    # A run is told by its first bin; its length is how far the bins after it are on.
+    length = lambda i: F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.lit(HUE_BINS)), lambda k: ~on(i + k))), F.lit(HUE_BINS))
+    mass = lambda i: F.aggregate(F.sequence(F.lit(0), length(i) - 1), F.lit(0).cast("long"), lambda s, k: s + at(i + k))
+    starts = F.filter(around, lambda i: on(i) & (~on(i - 1) | (F.forall("on", lambda o: o) & (i == 0))))
+    k = F.size(F.filter(starts, lambda i: mass(i) >= HUE_CLUSTER * F.col("all")))
+    best = F.array_max("windows")
+    apart = lambda i: F.least(F.pmod(i + best["minus"], F.lit(HUE_BINS)), F.pmod(-i - best["minus"], F.lit(HUE_BINS))) > 2
+    second = F.array_max(F.transform(F.filter("windows", lambda x: apart(-x["minus"])), lambda x: x["w"]))
+    return drawn.select("key", k.alias("k"), F.round((best["w"] + second) / F.col("all"), 6).alias("top2"))

@@ -198,3 +198,39 @@ def class_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well a value tells each pair of classes apart."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     return evaluate.class_matrix(docs.select(F.col("source").alias("file"), F.coalesce("lang", F.lit("-")).alias("label"), (F.char_length("text") % 50).cast("double").alias("v")), ["file"])
+
+
+# --- ink colours and notes ------------------------------------------------------------------------------------------------
+
+_HUES = """px AS (SELECT l_orderkey // 16 AS key, (l_partkey % 256)::DOUBLE AS r, (l_suppkey * 7 % 256)::DOUBLE AS g, (l_linenumber * 40 % 256)::DOUBLE AS b, l_quantity::BIGINT AS n FROM lineitem),
+c AS (SELECT *, greatest(r, g, b) AS mx, greatest(r, g, b) - least(r, g, b) AS d FROM px), h AS (SELECT key, n, CASE WHEN mx = r THEN (g - b) / d + CASE WHEN g < b THEN 6 ELSE 0 END WHEN mx = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END AS s FROM c WHERE d >= 40),
+hb AS (SELECT key, ((floor(s * 60 / 10)::INT % 36 + 36) % 36)::INT AS bin, sum(n) AS n FROM h GROUP BY ALL)"""
+
+
+def _hues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 16").alias("key"), (F.col("l_partkey") % 256).alias("r"), (F.col("l_suppkey") * 7 % 256).alias("g"), (F.col("l_linenumber") * 40 % 256).alias("b"), F.col("l_quantity").cast("long").alias("n"))
+    return policies.hue_bins(points, 40)
+
+
+@query(f"WITH {_HUES} SELECT key, bin, n::BIGINT AS n FROM hb")
+def hue_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hues(spark, sf_dir).select("key", "bin", "n")
+
+
+@query(f"""WITH {_HUES}, f AS (SELECT k.key, b AS bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT key FROM hb) k CROSS JOIN (SELECT unnest(range(36))::INT AS b) LEFT JOIN hb ON hb.key = k.key AND hb.bin = b),
+w AS (SELECT a.key, a.bin, sum(b.n) AS w FROM f a JOIN f b ON a.key = b.key AND (a.bin - b.bin + 37) % 36 <= 2 GROUP BY ALL), t AS (SELECT key, min(bin) AS i, max(w) AS w FROM w WHERE w = (SELECT max(w) FROM w o WHERE o.key = w.key) GROUP BY key), n AS (SELECT key, sum(n) AS n FROM hb GROUP BY key)
+SELECT t.key, round((max(t.w) + max(w.w)) / max(n.n), 6) AS top2 FROM t JOIN n ON n.key = t.key JOIN w ON w.key = t.key AND least((w.bin - t.i + 36) % 36, (t.i - w.bin + 36) % 36) > 2 GROUP BY t.key""")
+def hue_top_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a page's colour two inks account for."""
+    return policies.hue_clusters(_hues(spark, sf_dir)).select("key", "top2")
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, role, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM conversations),
+a AS (SELECT conv_id, turn, max_by(w, array_to_string(w, ' ')) AS w FROM w WHERE turn % 2 = 0 GROUP BY ALL), b AS (SELECT conv_id, turn - 1 AS turn, max_by(w, array_to_string(w, ' ')) AS w FROM w WHERE turn % 2 = 1 GROUP BY ALL)
+SELECT conv_id AS doc, turn AS label, coalesce(a.w[-1:] = b.w[-1:], false) AS in_place FROM a JOIN b USING (conv_id, turn)""")
+def markers_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the words before a page marker end as those before the marker of the same label in another note: turns and answers."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    talk = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), "turn", words.alias("w"), F.array_join(words, " ").alias("seq"))
+    note = lambda odd: evaluate.last_by_label(talk.where(F.col("turn") % 2 == odd).select("doc", (F.col("turn") - odd).alias("label"), "w", "seq"), ["doc", "label"], "seq")
+    return evaluate.markers_in_place(note(0), note(1), 1)

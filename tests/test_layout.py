@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quirespark.functions import text as T
-from quirespark.operators import boxes, glyphs, layout, profiles
+from quirespark.operators import boxes, glyphs, layout, policies, profiles
 
 
 def frame(spark, rows, ddl):
@@ -178,3 +178,28 @@ def test_rows_of_a_box(spark):
 def test_winansi(spark):
     found = frame(spark, [("a–b…€ ß漢",)], "t string").select(T.winansi(F.col("t")).alias("w")).first()["w"]
     assert bytes(found["bytes"]) == b"a\x96b\x85\x80 \xdf" and found["skipped"] == 1
+
+
+def test_hue_clusters(spark):
+    """Runs on the hue circle, that over its end included, against a loop."""
+    random.seed(6)
+    hists = [[random.choice((0, 0, 0, 1, 5, 40)) for _ in range(36)] for _ in range(60)] + [[1] * 36, [0] * 35 + [9], [50, *[0] * 34, 50]]
+
+    def loop(h):
+        total = sum(h)
+        on = [(h[i - 1] + 2 * h[i] + h[(i + 1) % 36]) / 4 >= 0.02 * total for i in range(36)]
+        if all(on):
+            return 1
+        start, runs, held = on.index(False), [], []
+        for i in range(37):
+            j = (start + i) % 36
+            if on[j] and i < 36:
+                held.append(h[j])
+            elif held:
+                runs.append(sum(held))
+                held = []
+        return sum(r >= 0.05 * total for r in runs)
+
+    rows = [(k, i, n, 0.0) for k, h in enumerate(hists) for i, n in enumerate(h) if n]
+    found = {r["key"]: r["k"] for r in policies.hue_clusters(frame(spark, rows, "key int, bin int, n long, share double")).collect()}
+    assert found == {k: loop(h) for k, h in enumerate(hists) if sum(h)}
