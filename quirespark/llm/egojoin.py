@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import drop_scratch, materialize, small_batches
 from .components import connected_components, smallest_member
 
 SAMPLE = 4_096
@@ -212,10 +212,13 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.select("a", "b", "n", "keys_a", "copies_a", "data_a", "keys_b", "copies_b", "data_b").repartition(parts, "a", "b")
     found = materialize(_join_blocks(pairs, shared, cosine, eps, leaf), "vector-links")
+    drop_scratch(blocks)
     counts = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("other is not null"), "key", "other")
     nodes = distinct.select("key", "copies", "least").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     of_key = materialize(smallest_member(nodes, "least").join(counts, "key", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("least_least").alias("component_id")), "vector-classes")
+    for part in (found, distinct):
+        drop_scratch(part)
     linked = rows.where("key is not null").select("id", "key").join(of_key, "key").select("id", "n_links", "component_id")
     alone = rows.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

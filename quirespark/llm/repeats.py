@@ -262,7 +262,9 @@ def _intervals(keyed: DataFrame, most: int) -> DataFrame:
             yield from done()
 
     rows = order.select("part", "place", "phrase", "at", "low", "high", "common").repartition("part").sortWithinPartitions("part", "place")
-    return materialize(rows.mapInArrow(run, "phrase binary, at int, a int, b int, first long, last long"), "intervals")
+    found = materialize(rows.mapInArrow(run, "phrase binary, at int, a int, b int, first long, last long"), "intervals")
+    drop_scratch(order)
+    return found
 
 
 def _contents(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -295,6 +297,8 @@ def _shared_strings(contents: DataFrame, length: int) -> DataFrame:
     pairs = pairs.select("phrase", (F.col("at") - F.least("b", "to")).alias("start"), (F.col("at") - F.greatest("a", "from")).alias("stop"), "first", "last", "r_first", "r_last")
     names = ["first", "last", "r_first", "r_last"]
     pairs = materialize(pairs, "string-intervals")
+    for part in (left, right):
+        drop_scratch(part)
     several = pairs.groupBy(*names).count().where("count > 1").select(*names)
     return pairs.join(several, names).select("phrase", F.col("start").alias("first"), F.col("stop").alias("last"))
 
