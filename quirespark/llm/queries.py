@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, egojoin, langid, licenses, linededup, probminhash, repeats, sharding, warc
+from . import bpe, chat, decontam, egojoin, langid, licenses, lexical, linededup, periodic, probminhash, repeats, sharding, warc
 from .common import scratch_path, table
 
 
@@ -75,7 +75,52 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_embedding_neardup, op3_warc, op4_line_dedup, op5_license_scan, op6_decontamination, op7_sharding, op8_language_id, op9_repeated_strings, op10_minhash_neardup)}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for i, role in enumerate(("user", "assistant"))])
+    one_more = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.inline(said))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text")
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chat.read_chats(chat.format_chats(turns.unionByName(one_more))).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+    # In a tenth of the documents the words from one on are made to repeat.
+    at, g = lambda ws: F.pmod(F.floor(F.col("h") / 10), F.size(ws)), F.floor(F.col("h") / 10)
+
+    def planted(ws: Column) -> Column:
+        return chat.let(F.struct(at(ws).cast("int").alias("a"), F.size(ws).alias("n")), lambda c: chat.let((1 + F.floor((c["n"] - c["a"]) / (3 + g % 8))).cast("int"), lambda p: F.array_join(F.transform(ws, lambda w, i: F.when(i < c["a"], w).otherwise(F.get(ws, c["a"] + F.pmod(i - c["a"], p)))), " ")))
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = docs.withColumn("text", F.when(F.col("h") % 10 == 0, chat.let(words, lambda ws: F.when(F.size(ws) > 0, planted(ws)))).otherwise(F.col("text")))
+    # Runs come by start, then period, so the first of equal ones is the one asked for.
+    better = lambda r, best: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    run = "struct<start: bigint, length: bigint, period: bigint>"
+    best = F.aggregate("runs", F.lit(None).cast(run), lambda best, r: F.when(better(r, best), r).otherwise(best))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return periodic.collapse_runs(docs, keep=["doc_id"]).withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.top_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20).select("item_id", "rank", "doc_id", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_embedding_neardup, op3_warc, op4_line_dedup, op5_license_scan, op6_decontamination, op7_sharding, op8_language_id, op9_repeated_strings, op10_minhash_neardup, op11_chat_format, op12_periodic_runs, op13_lexical_search)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
