@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import boxes as B
-from ..operators import glyphs, headers, layout, profiles, raster
+from ..operators import assembly, glyphs, headers, layout, profiles, raster, reading
 from .queries import _PROFILE, _profile, query, table
 
 # --- fragments: documents as fragments of pages of sixteen -----------------------------------------------------------------
@@ -106,30 +106,35 @@ def superscript_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- headers as a whole -------------------------------------------------------------------------------------------------
 
 _HEADERS = r"""
-l0 AS (SELECT length(text) AS grp, doc_id AS page, len(string_split(text, chr(10))) AS n, unnest(range(len(string_split(text, chr(10))))) AS id, trim(unnest(string_split(text, chr(10)))) AS text FROM documents WHERE text IS NOT NULL),
-l AS (SELECT *, (id + 1 < 0.12 * n OR id > 0.88 * n OR id = 0 OR id = n - 1) AS edge, regexp_replace(lower(text), '#?[0-9]+', '#', 'g') AS norm FROM l0 WHERE text <> ''),
-a AS (SELECT *, 2 * id < n - 1 AS upper_half, min(id) OVER p AS first, max(id) OVER p AS last, lag(id) OVER w AS before, lead(id) OVER w AS after FROM l WINDOW p AS (PARTITION BY grp, page), w AS (PARTITION BY grp, page ORDER BY id)),
-t AS (SELECT *, CASE WHEN upper_half THEN id = first ELSE id = last END AS outer_, CASE WHEN upper_half THEN coalesce(after - id > 1, true) ELSE coalesce(id - before > 1, true) END AS clear FROM a),
-pg AS (SELECT grp, count(DISTINCT page) AS n_pages FROM l0 GROUP BY grp), ct AS (SELECT grp, norm, count(DISTINCT page) AS n_with FROM t WHERE edge GROUP BY grp, norm),
-x AS (SELECT t.*, n_with, n_pages, regexp_matches(text, '^[0-9]{1,4}$') AS is_number FROM t JOIN ct USING (grp, norm) JOIN pg USING (grp) WHERE edge AND outer_)"""
-
-
-@query(rf"""WITH {_HEADERS} SELECT grp, page, id::INT AS id FROM x WHERE is_number OR n_with >= greatest(3, (n_pages + 1) // 2) OR (n_with >= greatest(2, n_pages // 4) AND clear)""")
+l0 AS (SELECT length(text) AS grp, doc_id AS page, len(string_split(text, chr(10))) AS n, unnest(range(len(string_split(text, chr(10))))) AS line, string_split(unnest(string_split(text, chr(10))), ', ') AS ps FROM documents WHERE text IS NOT NULL),
+l1 AS (SELECT grp, page, n, line, ps, unnest(range(len(ps))) AS k, unnest(ps) AS raw FROM l0),
+l AS (SELECT grp, page, line * 100000 + k AS id, 12.0::DOUBLE * (line + 1) AS base, 5.0::DOUBLE * (length(array_to_string(ps[1:k], ', ')) + CASE WHEN k > 0 THEN 2 ELSE 0 END) AS x0, 5.0::DOUBLE * length(raw) AS w, 12.0::DOUBLE * (n + 1) AS h, trim(raw) AS text FROM l1),
+f AS (SELECT *, x0 + w AS x1, regexp_replace(lower(text), '#?[0-9]+', '#', 'g') AS norm, base + 2 < 0.12 * h OR base - 7 > 0.88 * h AS edge, base - 7 < h / 2 AS upper_half FROM l WHERE text <> ''),
+t AS (SELECT *, NOT EXISTS (SELECT 1 FROM f o WHERE o.grp = b.grp AND o.page = b.page AND o.x0 < b.x1 AND o.x1 > b.x0 AND CASE WHEN b.upper_half THEN o.base < b.base - 3 ELSE o.base > b.base + 3 END) AS outer_,
+  NOT EXISTS (SELECT 1 FROM f o WHERE o.grp = b.grp AND o.page = b.page AND CASE WHEN b.upper_half THEN o.base > b.base + 3 AND o.base < b.base + 18 ELSE o.base < b.base - 3 AND o.base > b.base - 18 END) AS clear,
+  NOT EXISTS (SELECT 1 FROM f o WHERE o.grp = b.grp AND o.page = b.page AND o.id <> b.id AND abs(o.base - b.base) < 3 AND o.x0 < b.x1 + 30 AND o.x1 > b.x0 - 30) AS alone FROM f b WHERE edge),
+pg AS (SELECT grp, count(DISTINCT page) AS n_pages FROM l0 GROUP BY grp), ct AS (SELECT grp, norm, count(DISTINCT page) AS n_with FROM t GROUP BY grp, norm),
+x AS (SELECT t.*, n_with, n_pages, regexp_matches(text, '^[0-9]{1,4}$') AS is_number, list_transform(list_filter([regexp_replace(regexp_split_to_array(text, '\s+')[1], '^[^0-9]+|[^0-9]+$', '', 'g'), regexp_replace(regexp_split_to_array(text, '\s+')[-1], '^[^0-9]+|[^0-9]+$', '', 'g')], lambda w: regexp_matches(w, '^[0-9]{1,4}$')), lambda w: w::INT) AS numbers
+  FROM t JOIN ct USING (grp, norm) JOIN pg USING (grp) WHERE outer_)"""
+
+
+@query(rf"""WITH {_HEADERS} SELECT grp, page, id::BIGINT AS id FROM x WHERE is_number OR n_with >= greatest(3, (n_pages + 1) // 2) AND alone OR n_with >= greatest(2, n_pages // 4) AND clear OR list_contains(numbers, (page % 50)::INT) AND alone""")
 def header_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outermost lines of documents, in volumes of one length: repeated ones and bare numbers."""
-    from pyspark.sql import Window
-
+    """The outermost pieces of lines (cut at commas) of documents, in volumes of one length: repeated ones, bare numbers and those with their page's label."""
     each = headers.lines(table(spark, sf_dir, "documents").withColumn("volume", F.char_length("text")), "volume", "doc_id", "text")
-    shown = each.withColumn("edge", headers.in_edge()).withColumn("text", F.trim("text")).where("text <> ''").withColumnRenamed("line", "id")
-    page, along = Window.partitionBy("grp", "page"), Window.partitionBy("grp", "page").orderBy("id")
-    upper = 2 * F.col("id") < F.col("n_lines") - 1
-    tested = shown.select(
-        "grp", "page", "id", "edge", T.normalised(F.col("text")).alias("norm"), F.when(upper, F.col("id") == F.min("id").over(page)).otherwise(F.col("id") == F.max("id").over(page)).alias("outer"),
-        F.when(upper, F.coalesce(F.lead("id").over(along) - F.col("id") > 1, F.lit(True))).otherwise(F.coalesce(F.col("id") - F.lag("id").over(along) > 1, F.lit(True))).alias("clear"),
-        F.lit(True).alias("alone"), F.when(F.col("text").rlike("^[0-9]{1,4}$"), T.page_number(F.col("text"))).alias("number"),
-    )
+    pieces = each.select("grp", "page", "line", "n_lines", F.split("text", ", ").alias("ps")).select("grp", "page", "line", "n_lines", "ps", F.posexplode("ps").alias("k", "raw"))
+    x0 = F.lit(5.0) * (F.char_length(F.array_join(F.slice("ps", F.lit(1), F.col("k")), ", ")) + F.when(F.col("k") > 0, 2).otherwise(0))
+    placed = pieces.select(
+        "grp", "page", (F.col("line").cast("long") * 100_000 + F.col("k")).alias("id"), (F.lit(12.0) * (F.col("line") + 1)).alias("base"), x0.alias("x0"), (x0 + F.lit(5.0) * F.char_length("raw")).alias("x1"),
+        F.lit(10.0).alias("size"), (F.lit(12.0) * (F.col("n_lines") + 1)).alias("h"), F.trim("raw").alias("text"),
+    ).where("text <> ''")
+    marked = placed.withColumn("edge", (F.col("base") + 2 < headers.EDGE * F.col("h")) | (F.col("base") - 7 > (1 - headers.EDGE) * F.col("h"))).withColumn("upper_half", F.col("base") - 7 < F.col("h") / 2)
+    tested = marked.join(glyphs.header_tests(marked, ["grp", "page"], "id"), ["grp", "page", "id"]).withColumns(
+        {"norm": T.normalised(F.col("text")), "number": F.when(F.col("text").rlike("^[0-9]{1,4}$"), T.page_number(F.col("text"))), "numbers": T.edge_numbers(F.col("text"))}
+    )
     pages = each.groupBy("grp").agg(F.count_distinct("page").alias("n_pages"))
-    return layout.header_lines(tested, pages)
+    labels = each.select("grp", "page").distinct().withColumn("label_numbers", F.array((F.col("page") % 50).cast("int")))
+    return layout.header_lines(tested, pages, labels)
 
 
 @query("""WITH sized AS (SELECT source AS doc, doc_id AS line, 8 + (length(text) % 60) / 7.0::DOUBLE AS size, length(text) AS n FROM documents WHERE text IS NOT NULL),
@@ -303,3 +308,64 @@ def raster_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page at its place on a larger canvas; what reaches beyond is cut off."""
     return _points(spark, sf_dir, lambda v: raster.placed(v, 4, 3, 10, 11))
+
+
+# --- whole pages ----------------------------------------------------------------------------------------------------------
+
+#: Typeset pages: words to a line, lines to a column, width of a letter, distance of lines.
+_WORDS_A_LINE, _LINES_A_COLUMN, _ADVANCE, _PITCH = 6, 40, 3.0, 12.0
+
+
+def _columns_of_text(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc, page, id, x0, x1, base, size, bold, text: the words of each text (doc, text) set in two columns under a running head, and the pages."""
+    words = docs.select("doc", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w")).where("size(w) > 0")
+    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(_WORDS_A_LINE))
+    lines = words.select("doc", F.posexplode(F.transform(starts, lambda k: F.array_join(F.slice("w", k + 1, _WORDS_A_LINE), " "))).alias("n", "text"))
+    page, k = F.expr(f"int(n div {2 * _LINES_A_COLUMN})"), F.col("n") % _LINES_A_COLUMN
+    x0 = F.when(F.expr(f"n div {_LINES_A_COLUMN} % 2 = 0"), 40.0).otherwise(640.0)
+    placed = lines.select("doc", page.alias("page"), F.col("n").cast("long").alias("id"), x0.alias("x0"), (x0 + F.least(F.lit(580.0), _ADVANCE * F.char_length("text"))).alias("x1"), (120 + _PITCH * k).alias("base"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"), "text")
+    pages = placed.select("doc", "page").distinct().withColumn("h", F.lit(800.0))
+    heads = pages.select("doc", "page", F.lit(-1).cast("long").alias("id"), F.lit(40.0).alias("x0"), F.lit(200.0).alias("x1"), F.lit(30.0).alias("base"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"), F.concat(F.lit("Volume "), F.col("page") + 3).alias("text"))
+    return placed.unionByName(heads), pages
+
+
+@query()
+def markdown_of_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents set in two columns, read back as Markdown: headers off, columns in order, paragraphs."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), "text")
+    found = assembly.page_markdown(*_columns_of_text(docs))
+    return found.select("doc", "page", "label", F.char_length("markdown").alias("n_chars"), F.md5("markdown").alias("md5"))
+
+
+@query()
+def markdown_from_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From single glyphs to Markdown: benchmark texts set letter by letter, an item to a page and eight pages to a document."""
+    items = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.expr("item_id div 8").alias("doc"), F.expr("int(item_id % 8)").alias("page"), "text")
+    set_ = glyphs.from_lines(items, "item_id").join(items.select(F.col("item_id").alias("doc"), F.col("doc").alias("book"), "page"), "doc")
+    each = set_.select(F.col("book").alias("doc"), "page", F.monotonically_increasing_id().alias("seq"), "s", "x0", "x1", "y", "size", F.lit(False).alias("bold"))
+    pages = items.select("doc", "page").distinct().withColumn("h", F.lit(800.0))
+    found = assembly.markdown_of_glyphs(each, pages)
+    return found.select("doc", "page", "label", F.char_length("markdown").alias("n_chars"), F.md5("markdown").alias("md5"))
+
+
+_UNITS = """u AS (SELECT doc_id // 16 AS doc, row_number() OVER (PARTITION BY doc_id // 16 ORDER BY doc_id) AS ord, doc_id AS id, CASE WHEN length(text) % 7 = 0 THEN 'table' ELSE 'line' END AS kind,
+  (length(text) % 37) * 10.0::DOUBLE AS x0, (length(text) % 37) * 10.0::DOUBLE + 40 + length(text) % 90 AS x1, 12.0::DOUBLE * (doc_id % 16) AS base FROM documents WHERE text IS NOT NULL),
+fg AS (SELECT doc, id AS fig, x0 - 30 AS x0, x1 + 60 AS x1, base * 2 / 3 AS top FROM u WHERE id % 3 = 0)"""
+
+
+@query(f"""WITH {_UNITS}, p AS (SELECT doc, fig, coalesce((SELECT min(ord) FROM u WHERE u.doc = fg.doc AND kind = 'line' AND base > top AND u.x1 > fg.x0 AND u.x0 < fg.x1), 2147483647) AS ord FROM fg),
+a AS (SELECT doc, ord, id, kind, NULL AS fig FROM u UNION ALL SELECT doc, ord, NULL, 'figure', fig FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord, kind <> 'figure', fig) AS seq FROM a),
+b AS (SELECT *, lag(kind) OVER w AS before, last_value(CASE WHEN kind <> 'figure' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS text_before FROM s WINDOW w AS (PARTITION BY doc ORDER BY seq))
+SELECT doc, seq::INT AS seq, kind, id, fig, sum(CASE WHEN before IS NULL OR before <> 'line' OR kind <> 'line' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY seq)::BIGINT AS block, coalesce(kind = 'line' AND before = 'figure' AND text_before = 'line', false) AS col_start FROM b""")
+def figure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures before the first line below their top that they overlap; blocks of lines split there and are numbered anew."""
+    from pyspark.sql import Window
+
+    n, k = F.char_length("text"), F.col("doc_id")
+    x0 = (n % 37) * F.lit(10.0)
+    units = table(spark, sf_dir, "documents").where("text is not null").select(
+        F.expr("doc_id div 16").alias("doc"), F.lit(0).alias("page"), F.row_number().over(Window.partitionBy(F.expr("doc_id div 16")).orderBy("doc_id")).alias("ord"), k.alias("id"), F.when(n % 7 == 0, "table").otherwise("line").alias("kind"),
+        x0.alias("x0"), (x0 + 40 + n % 90).alias("x1"), (F.lit(12.0) * (k % 16)).alias("base"), F.lit(False).alias("col_start"),
+    )
+    figures = units.where("id % 3 = 0").select("doc", "page", F.col("id").alias("fig"), (F.col("x0") - 30).alias("x0"), (F.col("x1") + 60).alias("x1"), (F.col("base") * 2 / 3).alias("top"))
+    return reading.page_blocks(units, figures).select("doc", "seq", "kind", "id", "fig", "block", "col_start")

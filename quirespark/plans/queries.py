@@ -177,27 +177,27 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOXES = """box AS (SELECT doc_id // 8 AS doc, (doc_id % 8)::INT AS line, (length(text) % 37) * 10.0::DOUBLE AS x0, (length(text) % 37) * 10.0::DOUBLE + 40 + length(text) % 90 AS x1,
-  20.0::DOUBLE * (doc_id % 8) AS top, 20.0::DOUBLE * (doc_id % 8) + 8 + length(text) % 17 AS bot, 8.0::DOUBLE + length(text) % 5 AS size, (doc_id % 8) < 4 AS upper_half FROM documents WHERE text IS NOT NULL)"""
+  20.0::DOUBLE * (doc_id % 8) AS top, 20.0::DOUBLE * (doc_id % 8) + 8 + length(text) % 17 AS bot, 8.0::DOUBLE + length(text) % 5 AS size, (doc_id % 8) < 4 AS upper_half, 20.0::DOUBLE * (doc_id % 8) + length(text) % 13 AS base FROM documents WHERE text IS NOT NULL)"""
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, k = F.char_length("text"), F.col("doc_id") % 8
     x0 = (n % 37) * F.lit(10.0)
     return table(spark, sf_dir, "documents").where("text is not null").select(
-        F.expr("doc_id div 8").alias("doc"), k.cast("int").alias("line"), x0.alias("x0"), (x0 + 40 + n % 90).alias("x1"), (F.lit(20.0) * k).alias("top"), (F.lit(20.0) * k + 8 + n % 17).alias("bot"), (F.lit(8.0) + n % 5).alias("size"), (k < 4).alias("upper_half")
+        F.expr("doc_id div 8").alias("doc"), k.cast("int").alias("line"), x0.alias("x0"), (x0 + 40 + n % 90).alias("x1"), (F.lit(20.0) * k).alias("top"), (F.lit(20.0) * k + 8 + n % 17).alias("bot"), (F.lit(8.0) + n % 5).alias("size"), (k < 4).alias("upper_half"), (F.lit(20.0) * k + n % 13).alias("base")
     )
 
 
 @query(f"""WITH {_BOXES}
-SELECT doc, line, NOT EXISTS (SELECT 1 FROM box o WHERE o.doc = b.doc AND o.line <> b.line AND o.x0 < b.x1 AND o.x1 > b.x0 AND CASE WHEN b.upper_half THEN o.bot <= b.top ELSE o.top >= b.bot END) AS outer_,
- NOT EXISTS (SELECT 1 FROM box o WHERE o.doc = b.doc AND o.line <> b.line AND CASE WHEN b.upper_half THEN o.top - b.bot BETWEEN 0.3 * b.size AND 1.8 * b.size ELSE b.top - o.bot BETWEEN 0.3 * b.size AND 1.8 * b.size END) AS clear,
- NOT EXISTS (SELECT 1 FROM box o WHERE o.doc = b.doc AND o.line <> b.line AND o.top < b.bot AND o.bot > b.top AND (o.x0 - b.x1 BETWEEN 0 AND 3 * b.size OR b.x0 - o.x1 BETWEEN 0 AND 3 * b.size)) AS alone FROM box b""")
+SELECT doc, line, NOT EXISTS (SELECT 1 FROM box o WHERE o.doc = b.doc AND o.line <> b.line AND o.x0 < b.x1 AND o.x1 > b.x0 AND CASE WHEN b.upper_half THEN o.base < b.base - 0.3 * b.size ELSE o.base > b.base + 0.3 * b.size END) AS outer_,
+ NOT EXISTS (SELECT 1 FROM box o WHERE o.doc = b.doc AND o.line <> b.line AND CASE WHEN b.upper_half THEN o.base > b.base + 0.3 * b.size AND o.base < b.base + 1.8 * b.size ELSE o.base < b.base - 0.3 * b.size AND o.base > b.base - 1.8 * b.size END) AS clear,
+ NOT EXISTS (SELECT 1 FROM box o WHERE o.doc = b.doc AND o.line <> b.line AND abs(o.base - b.base) < 0.3 * b.size AND o.x0 < b.x1 + 3 * b.size AND o.x1 > b.x0 - 3 * b.size) AS alone FROM box b""")
 def header_outer_clear_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyphs.header_tests(_boxes(spark, sf_dir)).select("doc", "line", F.col("outer").alias("outer_"), "clear", "alone")
 
 
 @query(f"""WITH {_BOXES}, body AS (SELECT doc, max(size) AS body FROM box GROUP BY doc)
-SELECT s.doc, s.line FROM box s JOIN body USING (doc) WHERE s.size < 0.95 * body AND NOT EXISTS (SELECT 1 FROM box f WHERE f.doc = s.doc AND f.size >= 0.95 * body AND f.top > s.top AND f.x0 < s.x1 AND f.x1 > s.x0)""")
+SELECT s.doc, s.line FROM box s JOIN body USING (doc) WHERE s.size <= 0.85 * body AND NOT EXISTS (SELECT 1 FROM box f WHERE f.doc = s.doc AND f.size > 0.85 * body AND f.base > s.base AND f.x0 < s.x1 AND f.x1 > s.x0)""")
 def footnote_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _boxes(spark, sf_dir)
     found = glyphs.footnotes(boxes, boxes.groupBy("doc").agg(F.max("size").alias("body")))

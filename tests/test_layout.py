@@ -44,7 +44,10 @@ def test_superscripts_join_the_first_larger_row(spark):
     assert {(r["row"], r["host"]) for r in found.collect()} == {(2, 1), (3, 1)}
 
 
-def sections_by_loop(strips, least):
+def sections_by_loop(strips, least, last_gutters=None):
+    """The number of each strip's section; last_gutters, a dict, gets each section's gutters at its end."""
+    last_gutters = {} if last_gutters is None else last_gutters
+
     def union(spans):
         out = []
         for a, b in sorted(spans):
@@ -83,13 +86,14 @@ def sections_by_loop(strips, least):
         if gutters:
             left = narrowed(gutters, spans)
             if left is not None:
-                gutters = left
+                gutters = last_gutters[number] = left
                 out.append(number)
                 continue
         elif gutters is not None and not inner(spans) and not ahead(k):
             out.append(number)
             continue
         number, gutters = number + 1, inner(spans) or ahead(k)
+        last_gutters[number] = gutters
         out.append(number)
     return out
 
