@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import boxes as B
 from ..operators import assembly, glyphs, headers, layout, profiles, raster, reading
+from ..sources import pdf, writers
 from .queries import _PROFILE, _profile, query, table
 
 # --- fragments: documents as fragments of pages of sixteen -----------------------------------------------------------------
@@ -369,3 +370,22 @@ def figure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     figures = units.where("id % 3 = 0").select("doc", "page", F.col("id").alias("fig"), (F.col("x0") - 30).alias("x0"), (F.col("x1") + 60).alias("x1"), (F.col("base") * 2 / 3).alias("top"))
     return reading.page_blocks(units, figures).select("doc", "seq", "kind", "id", "fig", "block", "col_start")
+
+
+# --- documents as PDF files, read back --------------------------------------------------------------------------------------
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, regexp_replace(unnest(string_split(text, chr(10))), '[^\x20-\x7e\x{a0}-\x{ff}‘’“”•–—…€]', '', 'g') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id::VARCHAR AS doc, (max(line) // 50 + 1)::INT AS n_pages, sum(length(t))::BIGINT AS n_glyphs, md5(string_agg(t, '' ORDER BY line)) AS text_md5 FROM l GROUP BY doc_id""")
+def pdf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as PDFs of fifty lines a page and read back glyph by glyph."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    lines = docs.select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "t")).withColumn("s", T.winansi(F.col("t"))["bytes"])
+    y = F.lit(14.0) * (F.col("line") % 50 + 1)
+    drawn = F.struct("line", "s", F.lit(10.0).alias("x0"), y.alias("y0"), (F.lit(10.0) + 3 * F.length("s")).alias("x1"), (y + 7.86).alias("y1"))
+    pages = lines.groupBy("doc", F.expr("int(line div 50)").alias("page")).agg(F.array_sort(F.collect_list(drawn)).alias("own"))  # of fifty lines
+    shown = F.transform("own", lambda r: F.struct(*[r[c].alias(c) for c in ("s", "x0", "y0", "x1", "y1")]))
+    files = writers.pdf_documents(pages.select("doc", "page", F.lit(600.0).alias("w"), F.lit(800.0).alias("h"), F.lit(True).alias("visible"), shown.alias("lines")))
+    found = pdf.pdf_pages(files).select("doc", "page", "n_pages", F.size("glyphs").alias("n"), F.array_join(F.transform("glyphs", lambda g: g["s"]), "").alias("t"))
+    whole = found.groupBy("doc").agg(F.max("n_pages").alias("n_pages"), F.sum("n").cast("long").alias("n_glyphs"), F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"))  # of one document
+    return whole.select("doc", "n_pages", "n_glyphs", F.md5(F.array_join(F.transform("p", lambda p: p["t"]), "")).alias("text_md5"))

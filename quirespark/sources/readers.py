@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pdf import Pdf
+
 #: The signals of a page or tile, in the order of their columns.
 SIGNALS = ["hasler", "nongrey20", "nongrey60", "lum_std", "midtone", "entropy", "ink", "cc_per_mpx", "cc_med_area", "cc_big_frac", "edge"]
 
@@ -25,10 +30,20 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def n_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_pages: the page objects of PDFs whose objects are not in compressed streams (null: not to be told)."""
-    text = F.decode("content", "ISO-8859-1")
-    pages = F.size(F.regexp_extract_all(text, F.lit(r"/Type\s*/Page(?![s\w])"), F.lit(0)))
-    return docs.select("doc_id", F.when(text.startswith("%PDF-") & (pages > 0), pages).alias("n_pages"))
+    """doc_id, n_pages of PDFs, object streams included, from the page tree alone; null: not a PDF that can be read."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for content in batch.column(1).to_pylist():
+                data = content or b""
+                try:
+                    found.append(Pdf(lambda at, n, data=data: data[at : at + n], len(data)).n_pages())
+                except Exception:  # noqa: BLE001  a file that can't be read has no count
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], names=["doc_id", "n_pages"])
+
+    return docs.select("doc_id", "content").mapInArrow(count, f"doc_id {dict(docs.dtypes)['doc_id']}, n_pages int")
 
 
 def rasters(spark: SparkSession, path: str) -> DataFrame:
