@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import boxes as B
-from ..operators import assembly, glyphs, headers, layout, profiles, raster, reading
+from ..operators import assembly, glyphs, headers, layout, profiles, raster, reading, ring
 from ..sources import pdf, writers
 from .queries import _PROFILE, _profile, query, table
 
@@ -389,3 +389,47 @@ def pdf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pdf.pdf_pages(files).select("doc", "page", "n_pages", F.size("glyphs").alias("n"), F.array_join(F.transform("glyphs", lambda g: g["s"]), "").alias("t"))
     whole = found.groupBy("doc").agg(F.max("n_pages").alias("n_pages"), F.sum("n").cast("long").alias("n_glyphs"), F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"))  # of one document
     return whole.select("doc", "n_pages", "n_glyphs", F.md5(F.array_join(F.transform("p", lambda p: p["t"]), "")).alias("text_md5"))
+
+
+# --- the ring around slots: pieces of order lines -------------------------------------------------------------------------
+
+_RING = """rp AS (SELECT l_orderkey // 4 AS slot, (l_orderkey % 4 * 8 + l_linenumber)::INT AS id, (l_partkey % 23 * 16)::INT AS x0, (CASE WHEN l_suppkey % 4 = 0 THEN 760 ELSE 640 END + l_suppkey % 9 * 6)::INT AS y0,
+  (l_partkey % 23 * 16 + 8 + l_linenumber)::INT AS x1, (CASE WHEN l_suppkey % 4 = 0 THEN 760 ELSE 640 END + l_suppkey % 9 * 6 + 8 + l_quantity % 9)::INT AS y1, (30 + l_partkey % 40)::INT AS area, l_orderkey % 4 <> 3 AS "out", l_partkey % 17 = 0 AS edge, l_partkey % 3 = 0 AS seed FROM lineitem)"""
+
+
+def _ring(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    x0, y0 = p % 23 * 16, F.when(s % 4 == 0, 760).otherwise(640) + s % 9 * 6
+    pieces = table(spark, sf_dir, "lineitem").select(
+        F.expr("l_orderkey div 4").alias("slot"), (k % 4 * 8 + n).cast("int").alias("id"), x0.cast("int").alias("x0"), y0.cast("int").alias("y0"), (x0 + 8 + n).cast("int").alias("x1"), (y0 + 8 + F.col("l_quantity") % 9).cast("int").alias("y1"),
+        (30 + p % 40).cast("int").alias("area"), (k % 4 != 3).alias("out"), (p % 17 == 0).alias("edge"), (p % 3 == 0).alias("seed"),
+    )
+    block = pieces.select("slot").distinct().selectExpr("slot", "100 ay0", "620 ay1", "50 kx0", "300 kx1", "100 top", "620 bottom", "10D letter", "800 h")
+    return pieces, block
+
+
+@query(f"""WITH {_RING}, g AS (SELECT *, greatest(50 - x1, x0 - 300, 0) AS gx FROM rp)
+SELECT slot, id FROM g WHERE area > 0 AND "out" AND NOT edge AND area >= 12.5 AND greatest(x1 - x0, y1 - y0) <= 30 AND ((y1 - y0 >= 5 AND gx <= 240 AND (y0 < 115 OR y1 > 605)) OR ((y1 <= 100 OR y0 >= 620) AND gx <= 120))""")
+def ring_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces outside a slot that stand on its first or last line, or above or below its text."""
+    return ring.ring_letters(*_ring(spark, sf_dir)).where("online").select("slot", "id")
+
+
+@query(f"""WITH RECURSIVE {_RING}, pool AS (SELECT * FROM rp WHERE "out" AND NOT edge), e AS (SELECT a.slot, a.id AS u, b.id AS v FROM pool a JOIN pool b USING (slot) WHERE greatest(b.x0 - a.x1, a.x0 - b.x1, 0) <= 10 AND least(a.y1, b.y1) > greatest(a.y0, b.y0)),
+reach AS (SELECT slot, id AS u, id AS v FROM pool UNION SELECT r.slot, r.u, e.v FROM reach r JOIN e ON e.slot = r.slot AND e.u = r.v), rows_ AS (SELECT slot, u AS id, min(v) AS root FROM reach GROUP BY slot, u),
+held AS (SELECT * FROM rows_ JOIN pool USING (slot, id) WHERE (slot, root) IN (SELECT (slot, root) FROM rows_ JOIN pool USING (slot, id) WHERE seed)), band AS (SELECT slot, root, min(y0) AS y0, max(y1) AS y1 FROM held GROUP BY slot, root),
+e2 AS (SELECT a.slot, a.root AS u, b.root AS v FROM band a JOIN band b USING (slot) WHERE 2 * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= least(a.y1 - a.y0, b.y1 - b.y0)),
+r2 AS (SELECT slot, root AS u, root AS v FROM band UNION SELECT r.slot, r.u, e2.v FROM r2 r JOIN e2 ON e2.slot = r.slot AND e2.u = r.v), ln AS (SELECT slot, u AS root, min(v) AS line FROM r2 GROUP BY slot, u)
+SELECT slot, line, count(*) AS n, sum(id)::BIGINT AS ids FROM held JOIN ln USING (slot, root) GROUP BY slot, line HAVING count(*) FILTER (y1 - y0 >= 5) >= 3 AND sum(area) FILTER (y1 - y0 >= 5) >= 0.8 * sum(area)""")
+def clipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces linked to rows, rows to lines; a line has letters with most of its ink."""
+    pieces, block = _ring(spark, sf_dir)
+    letters = ring.ring_letters(pieces, block)
+    found = ring.clipped_lines(letters, letters.select("slot", "id"))
+    return found.groupBy("slot", "line").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query()
+def reached_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the ring search takes in: page numbers, clipped lines, signs over and under them."""
+    return ring.reached(*_ring(spark, sf_dir)).select("slot", "id", "why", "part")
