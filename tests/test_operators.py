@@ -228,7 +228,7 @@ def test_loaded_pages():
 def test_sliver_half():
     mask = np.zeros((400, 1000), bool)
     mask[40:360:8, 560:940:2] = mask[41:360:8, 560:940:2] = mask[42:360:8, 560:940:2] = True
-    mask[100:132:8, 100:480:2] = mask[101:132:8, 100:480:2] = mask[102:132:8, 100:480:2] = True
+    mask[100:164:8, 100:480:2] = mask[101:164:8, 100:480:2] = mask[102:164:8, 100:480:2] = True
     assert raster.spread_box(mask, (450, 30, 950, 370), 500)[0] < 110 and raster.spread_box(mask, (450, 30, 950, 370), 500)[2] == 950
     assert raster.spread_box(mask, (100, 30, 950, 370), 500) == (100, 30, 950, 370)
 
