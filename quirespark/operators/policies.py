@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The classes of regions that are to be kept.
 KEEP = ["picture", "diagram", "coloured-text", "cover"]
 #: Classes that a 1-bit page loses; others it only degrades.
 LOST = ["picture", "cover"]
@@ -27,11 +28,20 @@ def kept_classes(regions: DataFrame) -> DataFrame:
     return sets.select("file", "page", F.array_sort(F.array_intersect("all", F.array(*[F.lit(c) for c in KEEP]))).alias("classes")).where(F.size("classes") > 0)
 
 
-def with_facts(slots: DataFrame, pages: DataFrame, regions: DataFrame, safe: DataFrame, balanced: DataFrame) -> DataFrame:
+def page_classes(labelled: DataFrame, regions: DataFrame) -> DataFrame:
+    """file, page, keep (the page has a class that is to be kept), whole (it does, and no region says where). labelled: file, page, classes."""
+    keep = F.arrays_overlap(F.col("classes"), F.array(*[F.lit(c) for c in KEEP]))
+    boxed = regions.where(F.col("class").isin(KEEP)).select("file", "page").distinct().withColumn("boxed", F.lit(True))
+    kept = labelled.select("file", "page", F.coalesce(keep, F.lit(False)).alias("keep")).groupBy("file", "page").agg(F.bool_or("keep").alias("keep"))
+    return kept.join(boxed, ["file", "page"], "left").select("file", "page", "keep", (F.col("keep") & F.col("boxed").isNull()).alias("whole"))
+
+
+def with_facts(slots: DataFrame, pages: DataFrame, labelled: DataFrame, regions: DataFrame, safe: DataFrame, balanced: DataFrame) -> DataFrame:
     """slots with what the rules ask: hasler (does the page reach the least value of the other files' keep pages), share (of the file's
-    pages that do), rgb, first, labelled (a region of its own, or a keep page without regions), safe and balanced (a found box meets it)."""
-    keep = regions.where(F.col("class").isin(KEEP)).select("file", "page").distinct()
-    least = pages.join(keep, ["file", "page"]).groupBy("file").agg(F.min("hasler").alias("least"))
+    pages that do), rgb, first, labelled (a region to be kept meets the slot, or its page is to be kept and has no such region), keep_page (its page has
+    a class that is to be kept), safe and balanced (a found box meets it). labelled: file, page, classes."""
+    classes = page_classes(labelled, regions)
+    least = pages.join(classes.where("keep"), ["file", "page"]).groupBy("file").agg(F.min("hasler").alias("least"))
     # The least of the other files: of all, or the next where this file has it. Two rows are enough.
     two = least.agg(F.slice(F.array_sort(F.collect_list(F.struct("least", "file"))), 1, 2).alias("two"))  # one row a file
     cut = F.when(F.get("two", F.lit(0))["file"] == F.col("file"), F.get("two", F.lit(1))["least"]).otherwise(F.get("two", F.lit(0))["least"])
@@ -39,10 +49,10 @@ def with_facts(slots: DataFrame, pages: DataFrame, regions: DataFrame, safe: Dat
     scored = pages.join(files, "file").withColumn("reaches", F.coalesce(F.col("hasler") >= F.col("cut"), F.lit(False)))
     shares = scored.groupBy("file").agg(F.avg(F.col("reaches").cast("double")).alias("share"))
     out = slots.join(scored.select("file", "page", "rgb", F.col("reaches").alias("hasler")), ["file", "page"]).join(shares, "file").withColumn("first", F.col("page") == 1)
-    for name, boxes in (("labelled", regions), ("safe", safe), ("balanced", balanced)):
+    for name, boxes in (("labelled", regions.where(F.col("class").isin(KEEP))), ("safe", safe), ("balanced", balanced)):
         hit = meeting(slots, boxes).select("file", "out").withColumn(name, F.lit(True))
         out = out.join(hit, ["file", "out"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return out
+    return out.join(classes, ["file", "page"], "left").withColumns({"labelled": F.col("labelled") | F.coalesce("whole", F.lit(False)), "keep_page": F.coalesce("keep", F.lit(False))}).drop("keep", "whole")
 
 
 #: Rules by name, as conditions on the columns of with_facts().
@@ -59,15 +69,21 @@ def decisions(facts: DataFrame) -> DataFrame:
 
 
 def prices(decided: DataFrame) -> DataFrame:
-    """policy, bytes, colour pages, and how many of those no label asks for."""
-    return decided.groupBy("policy").agg(F.sum(F.when(F.col("colour"), F.col("image_bytes")).otherwise(F.col("text_bytes"))).alias("bytes"), F.count_if("colour").alias("n_colour"), F.count_if(F.col("colour") & ~F.col("labelled")).alias("n_needless"))
+    """policy, bytes, grey (bytes if colour pages were grey ones, by the ratio of both re-encoded: grey_bytes over colour_bytes), n_colour, n_needless
+    (colour pages that nothing asks for) and n_plain (slots that nothing asks for, in all)."""
+    plain = ~F.col("labelled") & ~F.col("keep_page")
+    size = lambda c: F.sum(F.when(F.col("colour"), c).otherwise(F.col("text_bytes")))
+    grey = F.col("image_bytes") * F.col("grey_bytes") / F.col("colour_bytes")
+    return decided.groupBy("policy").agg(size(F.col("image_bytes")).alias("bytes"), F.round(size(grey), 1).alias("grey"), F.count_if("colour").alias("n_colour"), F.count_if(F.col("colour") & plain).alias("n_needless"), F.count_if(plain).alias("n_plain"))
 
 
-def region_outcomes(decided: DataFrame, regions: DataFrame) -> DataFrame:
-    """policy, outcome, n: a region is kept if all slots that it meets are colour pages, partial if some are, else lost or degraded."""
+def region_outcomes(decided: DataFrame, labelled: DataFrame, regions: DataFrame) -> DataFrame:
+    """policy, outcome, n: a region is kept if all slots that it meets are colour pages, partial if some are, else lost or degraded. A page to be
+    kept that has no region counts as one of coloured text, as large as the page."""
     region = regions.where(F.col("class").isin(KEEP)).select("file", "page", "no", "class", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
-    met = decided.join(region, ["file", "page"]).where("least(x1, r_x1) > greatest(x0, r_x0) and least(y1, r_y1) > greatest(y0, r_y0)")
-    each = met.groupBy("policy", "file", "page", "no", "class").agg(F.bool_and("colour").alias("every"), F.bool_or("colour").alias("some"))
+    met = decided.join(region, ["file", "page"]).where("least(x1, r_x1) > greatest(x0, r_x0) and least(y1, r_y1) > greatest(y0, r_y0)").select("policy", "file", "page", F.col("no").cast("long").alias("no"), "class", "colour")
+    whole = decided.join(page_classes(labelled, regions).where("whole").select("file", "page"), ["file", "page"], "left_semi").select("policy", "file", "page", F.lit(-1).cast("long").alias("no"), F.lit("coloured-text").alias("class"), "colour")
+    each = met.unionByName(whole).groupBy("policy", "file", "page", "no", "class").agg(F.bool_and("colour").alias("every"), F.bool_or("colour").alias("some"))
     outcome = F.when(F.col("every"), "kept").when(F.col("some"), "partial").when(F.col("class").isin(LOST), "lost").otherwise("degraded")
     return each.groupBy("policy", outcome.alias("outcome")).agg(F.count("*").alias("n"))
 

@@ -6,66 +6,72 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, policies
+from ..operators import evaluate, inks, order, policies, slots
 from .queries import query, table
 
 _CLASSES = ["picture", "diagram", "coloured-text", "cover", "stamp", "rest"]
 _POLICY = """pages AS (SELECT 'f' || (doc_id % 7) AS file, (doc_id // 7 + 1)::INT AS page, (length(text) % 211)::DOUBLE / 10 AS hasler, length(text) % 3 = 0 AS rgb FROM documents WHERE text IS NOT NULL),
 slots AS (SELECT 'f' || (doc_id % 7) AS file, (2 * (doc_id // 7) + h)::INT AS out, (doc_id // 7 + 1)::INT AS page, (500 * h)::INT AS x0, 0 AS y0, (500 * h + 500)::INT AS x1, 700 AS y1, (1000 + length(text) % 977)::BIGINT AS text_bytes,
-  (9000 + length(text) % 7919)::BIGINT AS image_bytes FROM documents CROSS JOIN (SELECT unnest([0, 1]) AS h) WHERE text IS NOT NULL),
-regions AS (SELECT 'f' || (doc_id % 7) AS file, (doc_id // 7 + 1)::INT AS page, 1 AS no, (['picture', 'diagram', 'coloured-text', 'cover', 'stamp', 'rest'])[1 + doc_id % 11 % 6] AS class, (doc_id % 13 * 70)::INT AS x0, 10 AS y0, (doc_id % 13 * 70 + 150)::INT AS x1, 300 AS y1 FROM labels),
+  (9000 + length(text) % 7919)::BIGINT AS image_bytes, (8000 + length(text) % 5003)::BIGINT AS colour_bytes, (3000 + length(text) % 3001)::BIGINT AS grey_bytes FROM documents CROSS JOIN (SELECT unnest([0, 1]) AS h) WHERE text IS NOT NULL),
+regions AS (SELECT 'f' || (doc_id % 7) AS file, (doc_id // 7 + 1)::INT AS page, 1 AS no, (['picture', 'diagram', 'coloured-text', 'cover', 'stamp', 'rest'])[1 + doc_id % 11 % 6] AS class, (doc_id % 13 * 70)::INT AS x0, 10 AS y0, (doc_id % 13 * 70 + 150)::INT AS x1, 300 AS y1 FROM labels WHERE quality = 1),
+lab AS (SELECT 'f' || (doc_id % 7) AS file, (doc_id // 7 + 1)::INT AS page, (['picture', 'diagram', 'coloured-text', 'cover', 'stamp', 'rest'])[1 + doc_id % 11 % 6] AS class FROM labels),
 safe AS (SELECT * FROM regions WHERE page % 3 <> 0), bal AS (SELECT * FROM regions WHERE page % 3 = 1),
-kp AS (SELECT DISTINCT file, page FROM regions WHERE class IN ('picture', 'diagram', 'coloured-text', 'cover')),
+kp AS (SELECT DISTINCT file, page FROM lab WHERE class IN ('picture', 'diagram', 'coloured-text', 'cover')),
+kr AS (SELECT * FROM regions WHERE class IN ('picture', 'diagram', 'coloured-text', 'cover')), whole AS (SELECT file, page FROM kp EXCEPT SELECT file, page FROM kr),
 cuts AS (SELECT f.file, min(p.hasler) AS cut FROM (SELECT DISTINCT file FROM pages) f LEFT JOIN (SELECT pages.* FROM pages JOIN kp USING (file, page)) p ON p.file <> f.file GROUP BY f.file),
 sc AS (SELECT pages.*, coalesce(hasler >= cut, false) AS reaches FROM pages JOIN cuts USING (file)), sh AS (SELECT file, avg(reaches::INT) AS share FROM sc GROUP BY file),
 facts AS (SELECT s.*, sc.rgb, sc.reaches AS hasler, share, page = 1 AS first,
-  EXISTS (SELECT 1 FROM regions b WHERE b.file = s.file AND b.page = s.page AND least(s.x1, b.x1) > greatest(s.x0, b.x0) AND least(s.y1, b.y1) > greatest(s.y0, b.y0)) AS labelled,
+  (s.file, s.page) IN (SELECT (file, page) FROM whole) OR EXISTS (SELECT 1 FROM kr b WHERE b.file = s.file AND b.page = s.page AND least(s.x1, b.x1) > greatest(s.x0, b.x0) AND least(s.y1, b.y1) > greatest(s.y0, b.y0)) AS labelled,
+  (s.file, s.page) IN (SELECT (file, page) FROM kp) AS keep_page,
   EXISTS (SELECT 1 FROM safe b WHERE b.file = s.file AND b.page = s.page AND least(s.x1, b.x1) > greatest(s.x0, b.x0) AND least(s.y1, b.y1) > greatest(s.y0, b.y0)) AS safe,
   EXISTS (SELECT 1 FROM bal b WHERE b.file = s.file AND b.page = s.page AND least(s.x1, b.x1) > greatest(s.x0, b.x0) AND least(s.y1, b.y1) > greatest(s.y0, b.y0)) AS balanced
   FROM slots s JOIN sc USING (file, page) JOIN sh USING (file)),
 dec AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS policy, *, ({r}) AS colour FROM facts" for n, r in policies.RULES.items()) + ")"
 
 
-def _policy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Slots, pages and regions, made of documents (two slots a page) and labels."""
+def _policy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Slots, pages, their classes and regions, made of documents (two slots a page) and labels."""
     n, k = F.char_length("text"), F.col("doc_id")
     file, page = F.concat(F.lit("f"), (k % 7).cast("string")).alias("file"), F.expr("int(doc_id div 7 + 1)").alias("page")
     docs = table(spark, sf_dir, "documents").where("text is not null")
     pages = docs.select(file, page, (n % 211 / F.lit(10.0)).alias("hasler"), (n % 3 == 0).alias("rgb"))
     half = docs.withColumn("h", F.explode(F.array(F.lit(0), F.lit(1))))
-    slots = half.select(file, F.expr("int(2 * (doc_id div 7) + h)").alias("out"), page, (500 * F.col("h")).alias("x0"), F.lit(0).alias("y0"), (500 * F.col("h") + 500).alias("x1"), F.lit(700).alias("y1"), (1000 + n % 977).cast("long").alias("text_bytes"), (9000 + n % 7919).cast("long").alias("image_bytes"))
+    slots = half.select(file, F.expr("int(2 * (doc_id div 7) + h)").alias("out"), page, (500 * F.col("h")).alias("x0"), F.lit(0).alias("y0"), (500 * F.col("h") + 500).alias("x1"), F.lit(700).alias("y1"), (1000 + n % 977).cast("long").alias("text_bytes"), (9000 + n % 7919).cast("long").alias("image_bytes"), (8000 + n % 5003).cast("long").alias("colour_bytes"), (3000 + n % 3001).cast("long").alias("grey_bytes"))
     x0 = (k % 13 * 70).cast("int")
     named = F.get(F.array(*[F.lit(c) for c in _CLASSES]), (k % 11 % 6).cast("int"))
-    regions = table(spark, sf_dir, "labels").select(file, page, F.lit(1).alias("no"), named.alias("class"), x0.alias("x0"), F.lit(10).alias("y0"), (x0 + 150).alias("x1"), F.lit(300).alias("y1"))
-    return slots, pages, regions
+    labels = table(spark, sf_dir, "labels")
+    labelled = labels.select(file, page, F.array(named).alias("classes"))
+    regions = labels.where("quality = 1").select(file, page, F.lit(1).alias("no"), named.alias("class"), x0.alias("x0"), F.lit(10).alias("y0"), (x0 + 150).alias("x1"), F.lit(300).alias("y1"))
+    return slots, pages, labelled, regions
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots, pages, regions = _policy(spark, sf_dir)
-    return policies.decisions(policies.with_facts(slots, pages, regions, regions.where("page % 3 <> 0"), regions.where("page % 3 = 1")))
+    slots, pages, labelled, regions = _policy(spark, sf_dir)
+    return policies.decisions(policies.with_facts(slots, pages, labelled, regions, regions.where("page % 3 <> 0"), regions.where("page % 3 = 1")))
 
 
-@query(f"WITH {_POLICY} SELECT file, out FROM facts WHERE labelled")
+@query(f"WITH {_POLICY} SELECT file, out FROM slots s WHERE EXISTS (SELECT 1 FROM regions b WHERE b.file = s.file AND b.page = s.page AND least(s.x1, b.x1) > greatest(s.x0, b.x0) AND least(s.y1, b.y1) > greatest(s.y0, b.y0))")
 def slots_meeting_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots, _, regions = _policy(spark, sf_dir)
+    slots, _, _, regions = _policy(spark, sf_dir)
     return policies.meeting(slots, regions).select("file", "out")
 
 
 @query(f"""WITH {_POLICY} SELECT file, page, array_to_string(list_sort(list(DISTINCT class)), ',') AS classes FROM regions WHERE class IN ('picture', 'diagram', 'coloured-text', 'cover') GROUP BY file, page""")
 def kept_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policies.kept_classes(_policy(spark, sf_dir)[2]).select("file", "page", F.array_join("classes", ",").alias("classes"))
+    return policies.kept_classes(_policy(spark, sf_dir)[3]).select("file", "page", F.array_join("classes", ",").alias("classes"))
 
 
-@query(f"""WITH {_POLICY} SELECT policy, sum(CASE WHEN colour THEN image_bytes ELSE text_bytes END)::BIGINT AS bytes, count(*) FILTER (colour) AS n_colour, count(*) FILTER (colour AND NOT labelled) AS n_needless FROM dec GROUP BY policy""")
+@query(f"""WITH {_POLICY} SELECT policy, sum(CASE WHEN colour THEN image_bytes ELSE text_bytes END)::BIGINT AS bytes, round(sum(CASE WHEN colour THEN image_bytes * grey_bytes / colour_bytes ELSE text_bytes END), 1) AS grey, count(*) FILTER (colour) AS n_colour, count(*) FILTER (colour AND NOT labelled AND NOT keep_page) AS n_needless, count(*) FILTER (NOT labelled AND NOT keep_page) AS n_plain FROM dec GROUP BY policy""")
 def policy_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.prices(_decided(spark, sf_dir))
 
 
 @query(f"""WITH {_POLICY}, r AS (SELECT policy, d.file, d.page, r.no, r.class, bool_and(colour) AS e, bool_or(colour) AS s FROM dec d JOIN regions r ON r.file = d.file AND r.page = d.page AND least(d.x1, r.x1) > greatest(d.x0, r.x0) AND least(d.y1, r.y1) > greatest(d.y0, r.y0)
-  WHERE r.class IN ('picture', 'diagram', 'coloured-text', 'cover') GROUP BY ALL)
+  WHERE r.class IN ('picture', 'diagram', 'coloured-text', 'cover') GROUP BY ALL
+  UNION ALL SELECT policy, d.file, d.page, -1, 'coloured-text', bool_and(colour), bool_or(colour) FROM dec d WHERE (d.file, d.page) IN (SELECT (file, page) FROM whole) GROUP BY ALL)
 SELECT policy, CASE WHEN e THEN 'kept' WHEN s THEN 'partial' WHEN class IN ('picture', 'cover') THEN 'lost' ELSE 'degraded' END AS outcome, count(*) AS n FROM r GROUP BY ALL""")
 def region_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policies.region_outcomes(_decided(spark, sf_dir), _policy(spark, sf_dir)[2])
+    return policies.region_outcomes(_decided(spark, sf_dir), *_policy(spark, sf_dir)[2:])
 
 
 @query(f"""WITH {_POLICY}, a AS (SELECT file, out FROM dec WHERE policy = 'tiles safe' AND colour), b AS (SELECT file, out FROM dec WHERE policy = 'rgb' AND colour)
@@ -234,3 +240,54 @@ def markers_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), "turn", words.alias("w"), F.array_join(words, " ").alias("seq"))
     note = lambda odd: evaluate.last_by_label(talk.where(F.col("turn") % 2 == odd).select("doc", (F.col("turn") - odd).alias("label"), "w", "seq"), ["doc", "label"], "seq")
     return evaluate.markers_in_place(note(0), note(1), 1)
+
+
+# --- order of words, ink colours, figures at two scales -----------------------------------------------------------------------
+
+
+@query()
+def order_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the order of its other turns' words the assistant's turns of each conversation keep."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), lambda w: w != "")
+    told = table(spark, sf_dir, "conversations").select("conv_id", F.col("role") == "assistant", "turn", words.alias("w")).toDF("conv_id", "own", "turn", "w")
+    side = lambda own: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("own") == own, F.struct("turn", "w")))), lambda t: t["w"]))
+    found = order.order_kept(told.groupBy(F.col("conv_id").alias("key")).agg(side(False).alias("a"), side(True).alias("b")))  # of one conversation
+    return found.withColumnRenamed("key", "conv_id")
+
+
+_INK = """px AS (SELECT o_custkey % 97 AS key, (o_orderkey * 7 % 256)::INT AS r, (o_custkey * 13 % 256)::INT AS g, ((o_orderkey // 3) % 256)::INT AS b, 1 + o_orderkey % 5 AS n FROM orders)"""
+
+
+def _ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select((c % 97).alias("key"), (k * 7 % 256).cast("int").alias("r"), (c * 13 % 256).cast("int").alias("g"), F.expr("int((o_orderkey div 3) % 256)").alias("b"), (1 + k % 5).alias("n"))
+
+
+@query(f"""WITH {_INK}, c AS (SELECT *, greatest(r, g, b) - least(r, g, b) AS chroma, (0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) / 255 >= 0.7::DOUBLE AS light FROM px)
+SELECT key, round(coalesce(sum(n) FILTER (chroma >= 60), 0) / sum(n)::DOUBLE, 6) AS col_area, round(coalesce(sum(n) FILTER (light AND chroma >= 20 AND chroma < 60), 0)::DOUBLE / greatest(coalesce(sum(n) FILTER (light), 0), 1), 6) AS tint FROM c GROUP BY key""")
+def ink_tint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inks.tint_share(_ink(spark, sf_dir))
+
+
+@query()
+def ink_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the coloured points of each page lie from four inks."""
+    return inks.ink_residual(_ink(spark, sf_dir))
+
+
+@query()
+def figures_two_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as pages of 8 x 8 blocks (black, white, colours) at two scales; boxes in them grow, are dropped as line art, or are cut."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.lit(0).alias("page"), F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    ink = lambda v: F.when(v > 0.12, F.unhex(F.lit("C83C28"))).when(v < -0.05, F.unhex(F.lit("000000"))).otherwise(F.unhex(F.lit("FFFFFF")))
+
+    def raster(block: int) -> DataFrame:
+        blocks = F.transform("e", lambda v: F.repeat(F.hex(ink(v)), block))
+        rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.repeat(F.array_join(F.slice(blocks, y * 8 + 1, F.lit(8)), ""), F.lit(block)))
+        return vectors.select("doc", "page", F.lit(8 * block).alias("w"), F.lit(8 * block).alias("h"), F.unhex(F.array_join(rows, "")).alias("px"))
+
+    pt = 8 * 10 * 0.72  # eighty points of a hundred to the inch
+    box = lambda n, *c: F.struct(F.lit(n).alias("n"), *[F.lit(v * pt).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), c, strict=True)])
+    boxes = vectors.select("doc", "page", F.inline(F.array(box(1, 0.125, 0.125, 0.5, 0.5), box(2, 0.5, 0.5, 0.625, 0.625), box(3, 0.0, 0.75, 1.0, 1.0))))
+    found = slots.page_figures(raster(10), raster(15), boxes)
+    return found.select("doc", "n", "dropped", "grown", F.round("x0", 3).alias("x0"), F.round("y0", 3).alias("y0"), "w", "h", F.md5("content").alias("md5"))
