@@ -107,9 +107,9 @@ def superscript_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- headers as a whole -------------------------------------------------------------------------------------------------
 
 _HEADERS = r"""
-l0 AS (SELECT length(text) AS grp, doc_id AS page, len(string_split(text, chr(10))) AS n, unnest(range(len(string_split(text, chr(10))))) AS line, string_split(unnest(string_split(text, chr(10))), ', ') AS ps FROM documents WHERE text IS NOT NULL),
+l0 AS (SELECT length(text) % 97 AS grp, doc_id AS page, len(string_split(text, chr(10))) AS n, unnest(range(len(string_split(text, chr(10))))) AS line, string_split(unnest(string_split(text, chr(10))), ', ') AS ps FROM documents WHERE text IS NOT NULL),
 l1 AS (SELECT grp, page, n, line, ps, unnest(range(len(ps))) AS k, unnest(ps) AS raw FROM l0),
-l AS (SELECT grp, page, line * 100000 + k AS id, 12.0::DOUBLE * (line + 1) AS base, 5.0::DOUBLE * (length(array_to_string(ps[1:k], ', ')) + CASE WHEN k > 0 THEN 2 ELSE 0 END) AS x0, 5.0::DOUBLE * length(raw) AS w, 12.0::DOUBLE * (n + 1) AS h, trim(raw) AS text FROM l1),
+l AS (SELECT grp, page, line * 100000 + k AS id, 15.0::DOUBLE * (line + 1) + 5 * (line % 2) AS base, 5.0::DOUBLE * (length(array_to_string(ps[1:k], ', ')) + CASE WHEN k > 0 THEN 2 ELSE 0 END) AS x0, 5.0::DOUBLE * length(raw) AS w, 15.0::DOUBLE * (n + 2) AS h, trim(raw) AS text FROM l1),
 f AS (SELECT *, x0 + w AS x1, regexp_replace(lower(text), '#?[0-9]+', '#', 'g') AS norm, base + 2 < 0.12 * h OR base - 7 > 0.88 * h AS edge, base - 7 < h / 2 AS upper_half FROM l WHERE text <> ''),
 t AS (SELECT *, NOT EXISTS (SELECT 1 FROM f o WHERE o.grp = b.grp AND o.page = b.page AND o.x0 < b.x1 AND o.x1 > b.x0 AND CASE WHEN b.upper_half THEN o.base < b.base - 3 ELSE o.base > b.base + 3 END) AS outer_,
   NOT EXISTS (SELECT 1 FROM f o WHERE o.grp = b.grp AND o.page = b.page AND CASE WHEN b.upper_half THEN o.base > b.base + 3 AND o.base < b.base + 18 ELSE o.base < b.base - 3 AND o.base > b.base - 18 END) AS clear,
@@ -119,22 +119,22 @@ x AS (SELECT t.*, n_with, n_pages, regexp_matches(text, '^[0-9]{1,4}$') AS is_nu
   FROM t JOIN ct USING (grp, norm) JOIN pg USING (grp) WHERE outer_)"""
 
 
-@query(rf"""WITH {_HEADERS} SELECT grp, page, id::BIGINT AS id FROM x WHERE is_number OR n_with >= greatest(3, (n_pages + 1) // 2) AND alone OR n_with >= greatest(2, n_pages // 4) AND clear OR list_contains(numbers, (page % 50)::INT) AND alone""")
+@query(rf"""WITH {_HEADERS} SELECT grp, page, id::BIGINT AS id FROM x WHERE is_number OR n_with >= greatest(3, (n_pages + 1) // 2) AND alone OR n_with >= greatest(2, n_pages // 4) AND clear OR list_contains(numbers, (page % 16)::INT) AND alone""")
 def header_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outermost pieces of lines (cut at commas) of documents, in volumes of one length: repeated ones, bare numbers and those with their page's label."""
-    each = headers.lines(table(spark, sf_dir, "documents").withColumn("volume", F.char_length("text")), "volume", "doc_id", "text")
+    """The outermost pieces of lines (cut at commas) of documents, in volumes by length: repeated ones, bare numbers and those with their page's label."""
+    each = headers.lines(table(spark, sf_dir, "documents").withColumn("volume", F.char_length("text") % 97), "volume", "doc_id", "text")
     pieces = each.select("grp", "page", "line", "n_lines", F.split("text", ", ").alias("ps")).select("grp", "page", "line", "n_lines", "ps", F.posexplode("ps").alias("k", "raw"))
     x0 = F.lit(5.0) * (F.char_length(F.array_join(F.slice("ps", F.lit(1), F.col("k")), ", ")) + F.when(F.col("k") > 0, 2).otherwise(0))
     placed = pieces.select(
-        "grp", "page", (F.col("line").cast("long") * 100_000 + F.col("k")).alias("id"), (F.lit(12.0) * (F.col("line") + 1)).alias("base"), x0.alias("x0"), (x0 + F.lit(5.0) * F.char_length("raw")).alias("x1"),
-        F.lit(10.0).alias("size"), (F.lit(12.0) * (F.col("n_lines") + 1)).alias("h"), F.trim("raw").alias("text"),
+        "grp", "page", (F.col("line").cast("long") * 100_000 + F.col("k")).alias("id"), (F.lit(15.0) * (F.col("line") + 1) + 5 * (F.col("line") % 2)).alias("base"), x0.alias("x0"), (x0 + F.lit(5.0) * F.char_length("raw")).alias("x1"),
+        F.lit(10.0).alias("size"), (F.lit(15.0) * (F.col("n_lines") + 2)).alias("h"), F.trim("raw").alias("text"),
     ).where("text <> ''")
     marked = placed.withColumn("edge", (F.col("base") + 2 < headers.EDGE * F.col("h")) | (F.col("base") - 7 > (1 - headers.EDGE) * F.col("h"))).withColumn("upper_half", F.col("base") - 7 < F.col("h") / 2)
     tested = marked.join(glyphs.header_tests(marked, ["grp", "page"], "id"), ["grp", "page", "id"]).withColumns(
         {"norm": T.normalised(F.col("text")), "number": F.when(F.col("text").rlike("^[0-9]{1,4}$"), T.page_number(F.col("text"))), "numbers": T.edge_numbers(F.col("text"))}
     )
     pages = each.groupBy("grp").agg(F.count_distinct("page").alias("n_pages"))
-    labels = each.select("grp", "page").distinct().withColumn("label_numbers", F.array((F.col("page") % 50).cast("int")))
+    labels = each.select("grp", "page").distinct().withColumn("label_numbers", F.array((F.col("page") % 16).cast("int")))
     return layout.header_lines(tested, pages, labels)
 
 
