@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import drop_scratch, materialize, maybe_in, small_batches
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
@@ -114,8 +114,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7F]", "%20").alias("uri"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("sha", F.sha1("payload"))
-    # One narrow row a row; partial maxima meet per payload, so a payload that many rows share is no load.
-    chosen = rows.groupBy("sha").agg(F.max("id").alias("of"))
+    # Which payloads repeat is decided on ids and checksums alone. Only rows that may have such a payload are dealt by it, and the table
+    # that they meet is written, so Spark splits a payload that many rows share; all others stay where they are read.
+    repeated = materialize(rows.select("id", "sha").groupBy("sha").agg(F.max("id").alias("of"), F.count("*").alias("times")).where("times > 1").select("sha", "of"), "warc-repeated")
+    some, others = maybe_in(rows, repeated, "sha", rest=True)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,10 +129,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     out.append(revisit_record(row_id, sha, uri, payload, of_id))
             yield pa.RecordBatch.from_arrays([pa.array([r[:-1] for r in out], pa.binary())], ["record"])
 
-    joined = rows.join(chosen, "sha").select(F.col("id").cast("string"), "uri", "payload", "sha", F.col("of").cast("string").alias("of_id"))
-    records = joined.mapInArrow(build, "record binary")
+    fields = lambda of: [F.col("id").cast("string"), "uri", "payload", "sha", of.cast("string").alias("of_id")]
+    known = some.join(repeated.withColumn("known", F.lit(True)), "sha", "left").select(*fields(F.when(F.col("known"), F.col("of")).otherwise(F.col("id"))))
+    records = known.unionByName(others.select(*fields(F.col("id")))).mapInArrow(build, "record binary")
     # The sink ends each row with the line feed that was taken off the record's end.
     records.select(F.col("record").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
+    drop_scratch(repeated)
 
 
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -245,6 +249,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     decoded = materialize(grouped.mapInArrow(join, _RESULT), "warc-records")
     responses = decoded.where("type = 'response' or type is null")
     targets = responses.select(F.col("record_id").alias("refers_to"), F.col("id").alias("of_id"), F.col("payload").alias("of_payload"), F.col("payload_bytes").alias("of_bytes"), F.col("valid").alias("of_valid")).dropDuplicates(["refers_to"])
+    # Written, so that Spark splits a response to which many records refer.
+    targets = materialize(targets, "warc-targets")
     revisits = (
         decoded.where("type = 'revisit'")
         .join(targets, "refers_to", "left")
