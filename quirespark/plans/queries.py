@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, glyphs, headers, pages, paragraphs, profiles
+from ..operators import evaluate, glyphs, headers, onepass, pages, paragraphs, profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,8 +138,8 @@ f AS (SELECT *, sum(CASE WHEN gap > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY doc
 SELECT doc, row::BIGINT AS row, frag::BIGINT AS frag, min(x0) AS x0, max(x1) AS x1, min(y) AS base, md5(string_agg(CASE WHEN gap > 1.8 AND gap <= 15 THEN ' ' || s ELSE s END, '' ORDER BY x0)) AS text_md5
 FROM f GROUP BY doc, row, frag""")
 def glyph_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = glyphs.baseline_rows(glyphs.from_lines(table(spark, sf_dir, "documents")))
-    return glyphs.fragments(rows).select("doc", "row", "frag", "x0", "x1", "base", F.md5("text").alias("text_md5"))
+    found = onepass.page_fragments(glyphs.from_lines(table(spark, sf_dir, "documents")))
+    return found.select("doc", "row", "frag", "x0", "x1", "base", F.md5("text").alias("text_md5"))
 
 
 @query(rf"""WITH {_GLYPHS},
@@ -149,8 +149,8 @@ over_ AS (SELECT doc, bin, count(*) AS n_over FROM (SELECT doc, row, unnest(rang
 c AS (SELECT doc, bin, count(*) AS n_free FROM free GROUP BY doc, bin HAVING count(*) >= 5)
 SELECT doc, bin::INT AS bin, n_free, n_over FROM c JOIN over_ USING (doc, bin) WHERE n_free >= 0.3 * n_over""")
 def column_gutter_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = glyphs.baseline_rows(glyphs.from_lines(table(spark, sf_dir, "documents")))
-    return glyphs.gutter_bins(rows, share=0.3, gap=0.4).select("doc", "bin", "n_free", "n_over")
+    found = onepass.column_gutters(glyphs.from_lines(table(spark, sf_dir, "documents")), share=0.3, gap=0.4)
+    return found.select("doc", "bin", "n_free", "n_over")
 
 
 _SIZED = "sized AS (SELECT source AS doc, 8 + (length(text) % 60) / 7.0::DOUBLE AS size, length(text) AS n FROM documents WHERE text IS NOT NULL)"
