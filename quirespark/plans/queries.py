@@ -138,7 +138,7 @@ f AS (SELECT *, sum(CASE WHEN gap > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY doc
 SELECT doc, row::BIGINT AS row, frag::BIGINT AS frag, min(x0) AS x0, max(x1) AS x1, min(y) AS base, md5(string_agg(CASE WHEN gap > 1.8 AND gap <= 15 THEN ' ' || s ELSE s END, '' ORDER BY x0)) AS text_md5
 FROM f GROUP BY doc, row, frag""")
 def glyph_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = onepass.page_fragments(glyphs.from_lines(table(spark, sf_dir, "documents")))
+    found = onepass.fragments_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text").repartition("doc"), onepass.set_text)
     return found.select("doc", "row", "frag", "x0", "x1", "base", F.md5("text").alias("text_md5"))
 
 
@@ -149,7 +149,7 @@ over_ AS (SELECT doc, bin, count(*) AS n_over FROM (SELECT doc, row, unnest(rang
 c AS (SELECT doc, bin, count(*) AS n_free FROM free GROUP BY doc, bin HAVING count(*) >= 5)
 SELECT doc, bin::INT AS bin, n_free, n_over FROM c JOIN over_ USING (doc, bin) WHERE n_free >= 0.3 * n_over""")
 def column_gutter_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = onepass.column_gutters(glyphs.from_lines(table(spark, sf_dir, "documents")), share=0.3, gap=0.4)
+    found = onepass.gutters_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text").repartition("doc"), onepass.set_text, share=0.3, gap=0.4)
     return found.select("doc", "bin", "n_free", "n_over")
 
 

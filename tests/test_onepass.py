@@ -45,3 +45,22 @@ def test_pages_as_keys_and_empty(spark):
     want = glyphs.fragments(glyphs.baseline_rows(table)).select("doc.doc", "doc.page", "text").collect()
     assert sorted(map(tuple, found)) == sorted(map(tuple, want))
     assert onepass.page_fragments(table.where("false")).collect() == [] and onepass.column_gutters(table.where("false")).collect() == []
+
+
+def test_texts_are_set_where_they_are(spark):
+    texts = [(k, t) for k, t in enumerate([None, "", "\n", "a b\n\n c  d", "  x", "ü𝄞 é\n" * 3, "one two\n" * 40])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pages = docs.selectExpr("doc_id doc", "text")
+    for at_once in (onepass.ROWS, 3):
+        assert sorted(map(tuple, onepass.fragments_of(pages, onepass.set_text, at_once=at_once).collect())) == sorted(map(tuple, onepass.page_fragments(glyphs.from_lines(docs)).collect()))
+        assert sorted(map(tuple, onepass.gutters_of(pages, onepass.set_text, gap=0.4, at_once=at_once).collect())) == sorted(map(tuple, onepass.column_gutters(glyphs.from_lines(docs), gap=0.4).collect()))
+
+
+def test_pages_of_files(spark):
+    from quirespark.sources import pdf, writers
+
+    line = {"s": b"two words", "x0": 10.0, "y0": 20.0, "x1": 64.0, "y1": 27.86}
+    data = writers.pdf([{"w": 200.0, "h": 300.0, "visible": True, "lines": [line, line | {"s": b"more", "x1": 34.0, "y0": 60.0, "y1": 67.86}]}, {"w": 9.0, "h": 9.0}])
+    pages = pdf.pdf_pages(spark.createDataFrame([("d", bytearray(data))], "doc string, content binary"))
+    found = onepass.fragments_of(pages.selectExpr("named_struct('doc', doc, 'page', page) doc", "glyphs"), onepass.page_glyphs).orderBy("row").collect()
+    assert [(r["doc"]["page"], r["text"]) for r in found] == [(0, "two words"), (0, "more")]
