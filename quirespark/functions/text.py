@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,3 +157,13 @@ def rows_of_box(text: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
     wide = lambda r: F.when(r + 1 == k, x0 + (x1 - x0) * F.least(F.char_length(row(r)) / per, F.lit(1.0))).otherwise(x1)
     each = F.transform(F.sequence(F.lit(0), k - 1), lambda r: F.struct(row(r).alias("s"), x0.alias("x0"), (y0 + r * high).alias("y0"), wide(r).alias("x1"), (y0 + (r + 1) * high).alias("y1")))
     return F.filter(each, lambda r: r["s"] != "")
+
+
+def composed(text: Column) -> Column:
+    """Unicode text in composed form (NFC), in which file names of all systems are alike. For small tables of names."""
+
+    @F.pandas_udf("string")
+    def nfc(names: pd.Series) -> pd.Series:
+        return names.str.normalize("NFC")
+
+    return nfc(text)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import composed
+
 
 def _counts(scored: DataFrame, by: list[str]) -> DataFrame:
     """Positives and negatives of each value: all that follows works on distinct values."""
@@ -180,3 +182,14 @@ def markers_in_place(a: DataFrame, b: DataFrame, last: int = 10) -> DataFrame:
     other = b.select("doc", "label", F.slice("w", -F.least(F.lit(last), F.size("w")), last).alias("o"))
     end = F.slice("w", -F.least(F.lit(last), F.size("w")), last)
     return a.where(F.size("w") > 0).select("doc", "label", end.alias("e")).join(other, ["doc", "label"]).select("doc", "label", (F.col("e") == F.col("o")).alias("in_place"))
+
+
+def composed_files(rows: DataFrame) -> DataFrame:
+    """rows with their file's name in composed form; the names, not the rows, are composed."""
+    names = rows.select("file").distinct().withColumn("name", composed(F.col("file")))
+    return rows.join(names, "file").drop("file").withColumnRenamed("name", "file")
+
+
+def with_labels(signals: DataFrame, labels: DataFrame) -> DataFrame:
+    """signals (file, page, ...) with the labels (file, page, ...) of their page, however either writes the file's name."""
+    return composed_files(signals).join(composed_files(labels), ["file", "page"])

@@ -433,3 +433,41 @@ def clipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reached_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that the ring search takes in: page numbers, clipped lines, signs over and under them."""
     return ring.reached(*_ring(spark, sf_dir)).select("slot", "id", "why", "part")
+
+
+# --- kernels on rasters whose SQL sums neighbours ----------------------------------------------------------------------------
+
+_PIXELS = f"{_GREY}, px AS (SELECT doc, (i // 8)::INT AS y, (i % 8)::INT AS x, v / 255.0::DOUBLE AS v FROM g)"
+
+
+@query(f"""WITH {_PIXELS} SELECT doc, y, x, (v < 0.6 OR v < 0.75 AND EXISTS (SELECT 1 FROM px s WHERE s.doc = p.doc AND s.v < 0.45 AND (s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y) <= 5))::INT::DOUBLE AS v FROM px p""")
+def raster_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ink: dark points, and lighter ones near very dark ones."""
+    return _points(spark, sf_dir, lambda v: raster.threshold(v).astype(float))
+
+
+_WEIGHTS = "wt AS (SELECT d, e / sum(e) OVER () AS wt FROM (SELECT d, exp(-0.5 * (d / 0.8::DOUBLE) * (d / 0.8::DOUBLE)) AS e FROM (SELECT unnest(range(-4, 5)) AS d)))"
+
+
+@query(f"""WITH {_PIXELS}, {_WEIGHTS}, down AS (SELECT p.doc, o.y, p.x, sum(wt * p.v) AS v FROM (SELECT unnest(range(8))::INT AS y) o CROSS JOIN wt JOIN px p ON p.y = least(7, greatest(0, o.y + d)) GROUP BY ALL),
+across AS (SELECT p.doc, p.y, o.x, sum(wt * p.v) AS v FROM (SELECT unnest(range(8))::INT AS x) o CROSS JOIN wt JOIN down p ON p.x = least(7, greatest(0, o.x + d)) GROUP BY ALL)
+SELECT doc, y, x, round(v, 6) AS v FROM across""")
+def raster_blurred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Gaussian blur, edges repeated."""
+    return _points(spark, sf_dir, lambda v: raster.gauss(v, 0.8))
+
+
+@query(f"""WITH RECURSIVE {_PIXELS}, c AS (SELECT doc, x, y FROM px WHERE v < 0.2), r AS (SELECT doc, x, y, x AS u, y AS w FROM c UNION SELECT r.doc, r.x, r.y, c.x, c.y FROM r JOIN c ON c.doc = r.doc AND abs(c.x - r.u) <= 1 AND abs(c.y - r.w) <= 1),
+o AS (SELECT doc, x, y, min(w * 8 + u) AS root FROM r GROUP BY doc, x, y)
+SELECT doc, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*)::INT AS area FROM o GROUP BY doc, root""")
+def raster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of ink of each page: their boxes and areas."""
+    pieces = "array<struct<x0:int,y0:int,x1:int,y1:int,area:int>>"
+    named = lambda v: {"pieces": [dict(zip(("x0", "y0", "x1", "y1", "area"), map(int, c), strict=True)) for c in raster.components(v < 0.2)]}
+    return raster.map_pages(_rasters(spark, sf_dir), named, f"doc long, page int, pieces {pieces}").select("doc", F.inline("pieces"))
+
+
+@query(f"""WITH {_PIXELS} SELECT doc, y, x, round(v, 6) AS v FROM px""")
+def raster_unturned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turned by next to nothing onto a canvas of the same size: no point moves."""
+    return _points(spark, sf_dir, lambda v: raster.rotate(v, 0.005, 8, 8))

@@ -334,9 +334,11 @@ _MEDIANS = f"""{_METAS}, med AS (SELECT doc, trunc(median(trim.x0) FILTER (NOT {
   median(gutter.x / w) FILTER ({_CAND} AND gutter IS NOT NULL AND NOT (gutter.w > 0.08 * w)) AS fraction FROM metas GROUP BY doc)"""
 _PLANS = f"""{_MEDIANS}, o AS (SELECT m.*, med.*, {_CAND} AS double_, (gutter IS NOT NULL AND (fraction IS NULL OR NOT (gutter.w > 0.08 * w))) AS trusted FROM metas m JOIN med USING (doc)),
 q AS (SELECT *, CASE WHEN double_ AND trusted THEN gutter.x WHEN double_ AND fraction IS NOT NULL THEN trunc(fraction * w)::BIGINT END AS gx FROM o),
-plan AS (SELECT doc, page, CASE WHEN double_ AND gx IS NULL THEN 'review' WHEN double_ THEN 'split' WHEN bx0 IS NOT NULL OR trim IS NOT NULL THEN 'box' ELSE 'whole' END AS kind, gx,
+plan0 AS (SELECT doc, page, w, CASE WHEN double_ AND gx IS NULL THEN 'review' WHEN double_ THEN 'split' WHEN bx0 IS NOT NULL OR trim IS NOT NULL THEN 'box' ELSE 'whole' END AS kind, gx,
   CASE WHEN NOT double_ AND bx0 IS NOT NULL THEN bx0 ELSE coalesce(trim.x0, 0) END AS x0, CASE WHEN NOT double_ AND bx0 IS NOT NULL THEN by0 ELSE coalesce(trim.y0, 0) END AS y0,
-  CASE WHEN NOT double_ AND bx0 IS NOT NULL THEN bx1 ELSE coalesce(trim.x1, w) END AS x1, CASE WHEN NOT double_ AND bx0 IS NOT NULL THEN by1 ELSE coalesce(trim.y1, h) END AS y1 FROM q)"""
+  CASE WHEN NOT double_ AND bx0 IS NOT NULL THEN bx1 ELSE coalesce(trim.x1, w) END AS x1, CASE WHEN NOT double_ AND bx0 IS NOT NULL THEN by1 ELSE coalesce(trim.y1, h) END AS y1, trim IS NOT NULL AND double_ AND gx IS NOT NULL AS faces FROM q),
+plan1 AS (SELECT *, CASE WHEN faces AND x0 >= gx THEN greatest(2 * gx - x1, 0) ELSE x0 END AS l FROM plan0),
+plan AS (SELECT doc, page, kind, gx, l AS x0, y0, CASE WHEN faces AND x1 <= gx THEN least(2 * gx - l, w) ELSE x1 END AS x1, y1 FROM plan1)"""
 
 
 @query(f"""WITH {_METAS}, v AS (SELECT doc, rot, count(*) AS n FROM metas WHERE conf >= 0.25 GROUP BY doc, rot), m AS (SELECT doc, max(n) AS most FROM v GROUP BY doc),

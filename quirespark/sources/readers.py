@@ -53,9 +53,17 @@ def rasters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def layout(spark: SparkSession, path: str) -> DataFrame:
-    """file, ordinal, w, h, blocks, discarded: the pages of layout files; a file that can't be parsed fails the read."""
-    read = spark.read.schema(LAYOUT).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return layout_pages(read.select(F.input_file_name().alias("file"), "pdf_info"))
+    """file, ordinal, w, h, blocks, discarded: the pages of layout files; stray commas are overlooked, a file that can't be parsed all the same
+    fails the read."""
+    read = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), without_stray_commas(F.col("value")).alias("value"))
+    return layout_pages(read.select("file", F.from_json("value", LAYOUT, {"mode": "FAILFAST"})["pdf_info"].alias("pdf_info")))
+
+
+def without_stray_commas(json: F.Column) -> F.Column:
+    """JSON without commas that nothing follows or nothing precedes; what is inside strings stays."""
+    string = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
+    trailing = F.regexp_replace(json, rf"(?s){string}|,(?=[\s,]*[\]}}])|,(?=\s*,)", "$1")
+    return F.regexp_replace(trailing, rf"(?s){string}|([\[{{]\s*),", "$1$2")
 
 
 def layout_pages(parsed: DataFrame) -> DataFrame:

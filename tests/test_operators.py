@@ -250,3 +250,28 @@ def test_pdf(spark, tmp_path):
 def test_figure_files(spark):
     table = spark.createDataFrame([("book", 3, 1, "png", bytearray(b"xyz"))], "stem string, page int, n int, ext string, content binary")
     assert [(r["name"], bytes(r["content"])) for r in writers.figure_files(table).collect()] == [("book_p3_1.png", b"xyz")]
+
+
+def test_blank_facing_pages(spark):
+    rows = [("d", 1, 1000, 700, False, (500, 60), (520, 20, 900, 600)), ("d", 2, 1000, 700, False, (500, 60), (100, 20, 480, 600)), ("d", 3, 1000, 700, False, (500, 60), (100, 20, 900, 600))]
+    table = spark.createDataFrame(rows, "doc string, page int, w long, h long, vector boolean, gutter struct<x: long, w: long>, trim struct<x0: long, y0: long, x1: long, y1: long>")
+    found = {r["page"]: r for r in pages.plans(table).collect()}
+    assert [tuple(found[k]["box"]) for k in (1, 2, 3)] == [(100, 20, 900, 600), (100, 20, 900, 600), (100, 20, 900, 600)] and {r["kind"] for r in found.values()} == {"split"}
+
+
+def test_file_names_are_composed(spark):
+    import unicodedata
+
+    from quirespark.operators import evaluate
+
+    name = "Übung é.pdf"
+    signals = spark.createDataFrame([(unicodedata.normalize("NFD", name), 1, 0.5), ("b", 1, 0.1)], "file string, page int, hasler double")
+    labels = spark.createDataFrame([(name, 1, "picture"), ("b", 2, "x")], "file string, page int, class string")
+    assert [(r["file"], r["class"], r["hasler"]) for r in evaluate.with_labels(signals, labels).collect()] == [(name, "picture", 0.5)]
+
+
+def test_stray_commas(spark, tmp_path):
+    text = '{"pdf_info": [, {"page_size": [10, 20,], "para_blocks": [{"type": "image,]", "bbox": [1,2,,3,4],},], "discarded_blocks": [],},],}'
+    (tmp_path / "one.json").write_text(text)
+    r = readers.layout(spark, str(tmp_path)).first()
+    assert (r["ordinal"], r["w"], r["h"], r["blocks"][0]["type"], r["blocks"][0]["bbox"]) == (0, 10.0, 20.0, "image,]", [1.0, 2.0, 3.0, 4.0])
