@@ -64,12 +64,17 @@ def numbered(text: Column) -> Column:
     return text.rlike(r"^[0-9]{1,2}[).] ")
 
 
+def word_list(text: Column) -> Column:
+    """The words of a text in lower case: letters, digits and low lines."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Markdown to words in lower case: images, formulas, tags, page markers and line prefixes are left out."""
     for pattern in (r"!\[[^\]]*\]\([^)]*\)", r"!\[\[[^\]]*\]\]", r"\$\$[^$]*\$\$", r"\$[^$\n]*\$", r"<[^>]*>", r"\*— [^*]* —\*"):
         text = F.regexp_replace(text, pattern, " ")
     text = F.regexp_replace(text, r"(?m)^[#>\-| ]+", "")
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return word_list(text)
 
 
 def join_lines(lines: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import boxes as B
 from ..operators import assembly, glyphs, headers, layout, profiles, raster, reading, ring
+from ..scratch import written
 from ..sources import pdf, writers
 from .queries import _PROFILE, _profile, query, table
 
@@ -334,7 +335,8 @@ def _columns_of_text(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def markdown_of_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents set in two columns, read back as Markdown: headers off, columns in order, paragraphs."""
     docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), "text")
-    found = assembly.page_markdown(*_columns_of_text(docs))
+    # Set once: what reads the fragments and pages below would set them again each time.
+    found = assembly.page_markdown(*map(written, _columns_of_text(docs)))
     return found.select("doc", "page", "label", F.char_length("markdown").alias("n_chars"), F.md5("markdown").alias("md5"))
 
 

@@ -266,7 +266,7 @@ w AS (SELECT page_id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}_]+')) AS
 SELECT page_id, count(*) AS n_words, count(DISTINCT w) AS n_distinct FROM w GROUP BY page_id""")
 def html_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
-    each = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all(F.lower(bare), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w"))
+    each = table(spark, sf_dir, "pages").select("page_id", F.explode(T.word_list(bare)).alias("w"))
     # Distinct words of a page are counted after one partial aggregate by page and word.
     return each.groupBy("page_id", "w").count().groupBy("page_id").agg(F.sum("count").alias("n_words"), F.count("*").alias("n_distinct"))
 
@@ -278,7 +278,7 @@ _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 b AS (SELECT w, count(*) AS b FROM (SELECT unnest({_WORDS}) AS w FROM benchmark) GROUP BY 1)
 SELECT source, sum(least(a, b))::BIGINT AS common FROM a JOIN b USING (w) GROUP BY source""")
 def note_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w")
+    w = F.explode(T.word_list(F.coalesce("text", F.lit("")))).alias("w")
     return evaluate.multiset_overlap(table(spark, sf_dir, "documents").select("source", w), table(spark, sf_dir, "benchmark").select(w), ["source"], "w")
 
 
