@@ -5,7 +5,7 @@ A scored table has file, label (boolean) and v.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import composed
@@ -82,12 +82,32 @@ def region_labels(tiles: DataFrame, regions: DataFrame, share: float = 0.75) ->
 
 
 def coverage(regions: DataFrame, boxes: DataFrame, step: int = 10) -> DataFrame:
-    """page, no, covered: the share of a region's grid points (every `step`) that lie in a box of its page."""
-    points = regions.select("page", "no", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1, F.lit(step))).alias("x"), "y0", "y1").select("page", "no", "x", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1, F.lit(step))).alias("y"))
-    inside = (points["page"] == boxes["page"]) & (points["x"] >= boxes["x0"]) & (points["x"] < boxes["x1"]) & (points["y"] >= boxes["y0"]) & (points["y"] < boxes["y1"])
-    hit = points.join(boxes, inside, "left_semi").groupBy("page", "no").agg(F.count("*").alias("hit"))
-    n = points.groupBy("page", "no").agg(F.count("*").alias("n"))
-    return n.join(hit, ["page", "no"], "left").select("page", "no", F.round(F.coalesce("hit", F.lit(0)) / F.col("n"), 6).alias("covered"))
+    """page, no, covered: the share of a region's grid points (every `step`) that lie in a box of its page.
+
+    No point is a row: at each x of a region's grid, the boxes over it are intervals of the numbers of its points from top to
+    bottom, and their union is counted.
+    """
+    own = boxes.where("x0 < x1 and y0 < y1").groupBy("page").agg(F.collect_list(F.struct(*[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])).alias("boxes"))  # of one page
+    number = lambda c, start: F.ceil((c - start) / step).cast("long")  # noqa: E731  of grid points before c
+    sized = regions.select("page", "no", "x0", "y0", number(F.col("x1"), F.col("x0")).alias("nx"), number(F.col("y1"), F.col("y0")).alias("ny")).where("nx > 0 and ny > 0").join(own, "page", "left")
+    spans = F.transform("boxes", lambda b: F.struct(
+        F.greatest(number(b["by0"], F.col("y0")), F.lit(0)).alias("a"), F.least(number(b["by1"], F.col("y0")), F.col("ny")).alias("b"),
+        F.greatest(number(b["bx0"], F.col("x0")), F.lit(0)).alias("i"), F.least(number(b["bx1"], F.col("x0")), F.col("nx")).alias("j"),
+    ))
+    spanned = sized.select("page", "no", "nx", "ny", F.array_sort(F.filter(spans, lambda s: (s["a"] < s["b"]) & (s["i"] < s["j"]))).alias("spans"))
+
+    def points(i: Column) -> Column:
+        """How many points of the i-th column are covered: its spans are in order of their beginnings."""
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+        union = lambda t, s: F.struct((t["n"] + F.greatest(s["b"] - F.greatest(s["a"], t["end"]), F.lit(0))).alias("n"), F.greatest(s["b"], t["end"]).alias("end"))
+        return F.aggregate(F.filter("spans", lambda s: (s["i"] <= i) & (i < s["j"])), start, union, lambda t: t["n"])
+
+    # Columns between the same edges of boxes have the same points.
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform("spans", lambda s: s["i"]), F.transform("spans", lambda s: s["j"]))))
+    cut = spanned.withColumn("edges", edges)
+    hit = F.aggregate(F.transform("edges", lambda e, k: F.when(k + 1 < F.size("edges"), (F.get("edges", k + 1) - e) * points(e)).otherwise(0)), F.lit(0).cast("long"), lambda t, x: t + x)
+    each = cut.select("page", "no", (F.col("nx") * F.col("ny")).alias("n"), F.coalesce(hit, F.lit(0)).alias("hit"))
+    return each.groupBy("page", "no").agg(F.round(F.sum("hit") / F.sum("n"), 6).alias("covered"))
 
 
 def multiset_overlap(left: DataFrame, right: DataFrame, by: list[str], item: str) -> DataFrame:

@@ -78,3 +78,21 @@ def test_ink_residual_and_tint(spark):
         light = p @ np.array([0.299, 0.587, 0.114]) / 255 >= inks.LIGHT
         assert tint[k]["tint"] == pytest.approx((light & (chroma >= inks.TINT[0]) & (chroma < inks.TINT[1])).sum() / max(1, light.sum()), abs=1e-6)
         assert tint[k]["col_area"] == pytest.approx(len(coloured) / len(p), abs=1e-6)
+
+
+def test_coverage_makes_no_row_of_a_point(spark):
+    """Boxes that overlap, touch, reach out of the region or lie apart; regions of one number count together; a million points are one row."""
+    from quirespark.operators.evaluate import coverage
+
+    boxes = [(1, 0, 0, 35, 50), (1, 20, 20, 70, 90), (1, 35, 0, 40, 100), (1, -30, 95, 500, 300), (1, 400, 400, 500, 500), (1, 5, 5, 5, 50), (2, 0, 0, 9, 9)]
+    regions = [(1, 1, 3, 7, 98, 121), (1, 2, 0, 0, 10, 10), (1, 2, 60, 60, 100, 103), (2, 1, 0, 0, 20, 20), (2, 2, 11, 0, 21, 10), (3, 1, 0, 0, 10_000, 10_000), (None, 1, 0, 0, 10, 10)]
+    want: dict = {}
+    for page, no, x0, y0, x1, y1 in regions:
+        grid = [(x, y) for x in range(x0, x1, 10) for y in range(y0, y1, 10)]
+        n, hit = want.get((page, no), (0, 0))
+        want[page, no] = n + len(grid), hit + sum(any(p == page and a <= x < c and b <= y < d for p, a, b, c, d in boxes) for x, y in grid)
+    ddl = "x0 int, y0 int, x1 int, y1 int"
+    found = coverage(spark.createDataFrame(regions, f"page long, no int, {ddl}"), spark.createDataFrame(boxes, f"page long, {ddl}"))
+    assert {(r["page"], r["no"]): r["covered"] for r in found.collect()} == {k: round(h / n, 6) for k, (n, h) in want.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
