@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import small_batches, written
 from ..sources.writers import png
 from .boxes import kept_pieces, letter_heights, live
 from .colour import grow_box, is_line_art
@@ -81,6 +81,13 @@ def page_figures(pages: DataFrame, finer: DataFrame, boxes: DataFrame, scale: fl
     own = boxes.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("n", "x0", "y0", "x1", "y1"))).alias("boxes"))  # of one page
     other = finer.select("doc", "page", F.col("w").alias("fw"), F.col("h").alias("fh"), F.col("px").alias("fpx"))
     joined = own.join(pages.select("doc", "page", "w", "h", "px"), ["doc", "page"]).join(other, ["doc", "page"])
+    return figures_of(joined, scale, finer_scale, step)
+
+
+def figures_of(pages: DataFrame, scale: float = 100 / 72, finer_scale: float = 150 / 72, step: float = 3.0) -> DataFrame:
+    """page_figures() of pages whose row holds all: doc, page, boxes (array of n, x0, y0, x1, y1), and the rasters w, h, px and fw, fh, fpx.
+    Nothing is dealt, so no task holds more than a batch of pages."""
+    small_batches(pages.sparkSession)
     kind = dict(pages.dtypes)
 
     def pixels(box: list[float], k: float, w: int, h: int) -> list[int]:
@@ -114,7 +121,7 @@ def page_figures(pages: DataFrame, finer: DataFrame, boxes: DataFrame, scale: fl
                 frame = pd.DataFrame(rows, columns=names)
                 yield frame.astype({"w": "Int64", "h": "Int64"})
 
-    return joined.mapInPandas(run, f"doc {kind['doc']}, page {kind['page']}, n int, dropped boolean, grown boolean, x0 double, y0 double, x1 double, y1 double, w int, h int, content binary")
+    return pages.select("doc", "page", "w", "h", "px", "fw", "fh", "fpx", "boxes").mapInPandas(run, f"doc {kind['doc']}, page {kind['page']}, n int, dropped boolean, grown boolean, x0 double, y0 double, x1 double, y1 double, w int, h int, content binary")
 
 
 def drawn_in_order(figures: DataFrame) -> DataFrame:

@@ -61,3 +61,11 @@ def test_figures_at_two_resolutions(spark):
     x0, y0 = round(r["x0"] * 150 / 72), round(r["y0"] * 150 / 72)
     assert (cut == fine[y0 : y0 + r["h"], x0 : x0 + r["w"]]).all()
     assert [(f["n"], f["fig"]) for f in slots.drawn_in_order(found).collect()] == [(1, 1)]
+
+
+def test_rasters_of_vectors_are_not_dealt(spark):
+    """A raster is drawn in its page's row and goes through no join or shuffle, where a task would sort many of them."""
+    from quirespark.plans import scoring
+
+    plan = scoring.figures_two_scales(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
