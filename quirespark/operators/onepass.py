@@ -50,6 +50,18 @@ def whole_pages(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[
         yield table, starts(table)
 
 
+def in_order(*keys: np.ndarray) -> np.ndarray:
+    """np.lexsort(keys), the last key first; what is in order already, as most texts are, is only looked through."""
+    open_ = np.ones(max(len(keys[0]) - 1, 0), bool)
+    for key in reversed(keys):
+        if (open_ & ~(key[1:] >= key[:-1])).any():
+            return np.lexsort(keys)
+        open_ &= key[1:] == key[:-1]
+        if not open_.any():
+            break
+    return np.arange(len(keys[0]))
+
+
 class Rows:
     """The glyphs of whole pages by page, row and place: page, row (a number over all pages), own_row (in its page), x0, x1, y, size, blank, s."""
 
@@ -59,7 +71,7 @@ class Rows:
         rank = np.empty(len(values), int)
         rank[sorted(range(len(values)), key=lambda k: values[k].encode())] = np.arange(len(values))
         row = self._rows(page, x0, y, size)
-        order = np.lexsort((rank[codes], x1, x0, row, page))
+        order = in_order(rank[codes], x1, x0, row, page)
         self.page, self.own_row, self.x0, self.x1, self.y, self.size = (a[order] for a in (page, row, x0, x1, y, size))
         self.starts = starts
         self.first = np.r_[True, (self.page[1:] != self.page[:-1]) | (self.own_row[1:] != self.own_row[:-1])] if len(order) else np.empty(0, bool)
@@ -75,7 +87,7 @@ class Rows:
     @staticmethod
     def _rows(page: np.ndarray, x0: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Each glyph's row in its page; only distinct baselines and sizes are gone through one by one."""
-        by = np.lexsort((x0, size, y, page))
+        by = in_order(x0, size, y, page)
         p, b, s = page[by], y[by], size[by]
         level = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1])]) if len(by) else np.empty(0, int)
         levels: dict[int, list] = {}
@@ -113,18 +125,18 @@ def _gutters(rows: Rows, least: int, share: float, gap: float) -> list[tuple[np.
     first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.empty(0, bool)
     last = np.r_[first[1:], True] if len(row) else first
     out = []
-    for p in range(len(rows.starts)):
-        own = page == p
-        if not own.any():
+    edges = np.searchsorted(page, np.arange(len(rows.starts) + 1))  # glyphs are in order of pages
+    for own in map(slice, edges[:-1].tolist(), edges[1:].tolist()):
+        if own.start == own.stop:
             out.append((np.empty(0, int),) * 3)
             continue
-        bins = int(place(np.r_[x0[own], x1[own]]).max()) + 2
+        bins = int(place(np.maximum(x0[own].max(), x1[own].max()))) + 2
         free, over = np.zeros(bins + 1, np.int64), np.zeros(bins + 1, np.int64)
-        w = own & wide
-        np.add.at(free, place(right[w]) + 1, 1)
-        np.add.at(free, place(x0[w]), -1)
-        np.add.at(over, place(x0[own & first]), 1)
-        np.add.at(over, place(x1[own & last]), -1)
+        w = wide[own]
+        np.add.at(free, place(right[own][w]) + 1, 1)
+        np.add.at(free, place(x0[own][w]), -1)
+        np.add.at(over, place(x0[own][first[own]]), 1)
+        np.add.at(over, place(x1[own][last[own]]), -1)
         free, over = np.cumsum(free), np.cumsum(over)
         at = np.flatnonzero((free >= least) & (free >= share * over))
         out.append((at, free[at], over[at]))
@@ -139,8 +151,9 @@ def _fragments(rows: Rows, gutters: bool, least: int = 5, share: float = 0.6) ->
         broken = gap > BREAK * rows.size
         if gutters:
             wide = np.flatnonzero(gap >= GUTTER * rows.size)
+            edges = np.searchsorted(rows.page[wide], np.arange(len(rows.starts) + 1))
             for p, (bins, *_) in enumerate(_gutters(rows, least, share, GUTTER)):
-                own = wide[rows.page[wide] == p]
+                own = wide[edges[p] : edges[p + 1]]
                 low, high = np.floor(np.maximum(right[own], 0.0)), np.floor(rows.x0[own])
                 broken[own] |= np.searchsorted(bins, high) > np.searchsorted(bins, low)
     same = ~rows.first
