@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BATCH = 10_000
 
 
-def fold_groups(df: DataFrame, keys: list[str], order: list[str], step: Callable[[list[tuple]], Iterable[tuple]], added: str) -> DataFrame:
+def fold_groups(df: DataFrame, keys: list[str], order: list[str], step: Callable[[list[tuple]], Iterable[tuple]], added: str, batch: int = BATCH) -> DataFrame:
     """keys and the columns `added` (DDL): for each group, what step makes of its rows (without keys, in order).
 
     Groups are pages or documents' baselines: what one page holds. They are dealt by key and sorted by Spark, and pass
@@ -27,16 +27,16 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], step: Callable
         held: list[tuple] = []
         key: tuple | None = None
         out: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for given in batches:
+            for row in zip(*(c.to_pylist() for c in given.columns), strict=True):
                 if row[:n] != key:
                     if held:
                         out.extend((*key, *r) for r in step(held))
                     key, held = row[:n], []
+                    while len(out) >= batch:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out[:batch]], f.type) for k, f in enumerate(kinds)], schema=kinds)
+                        del out[:batch]
                 held.append(row[n:])
-            while len(out) >= BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out[:BATCH]], f.type) for k, f in enumerate(kinds)], schema=kinds)
-                del out[:BATCH]
         if held:
             out.extend((*key, *r) for r in step(held))
         if out:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import figure_name
-from ..scratch import written
+from ..operators.folds import fold_groups
+from ..scratch import small_batches, written
 
 
 def markdown(pages: DataFrame, path: str) -> None:
@@ -71,6 +72,8 @@ def text_layer(lines: list[dict], height: float, visible: bool = False) -> bytes
 KINDS = {"bit": (b"DeviceGray", 1), "grey": (b"DeviceGray", 8), "rgb": (b"DeviceRGB", 8)}
 #: Pages below one node of a PDF's page tree, and rows that a running sum goes over at once.
 NODE_PAGES, CHUNK = 256, 1024
+#: Whole files that are sent on at a time.
+FILES = 16
 _FIXED = 3  # catalog, root of the page tree, font
 
 
@@ -125,12 +128,13 @@ def pdf(pages: list[dict]) -> bytes:
 def pdf_documents(pages: DataFrame) -> DataFrame:
     """doc, n_pages, content: a PDF of each document's pages in order, as one value; for documents that fit one. pages: doc, page and what page_objects() takes."""
 
-    def build(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        rows = own.sort_values("page").to_dict("records")
-        return pd.DataFrame({"doc": [key[0]], "n_pages": [len(rows)], "content": [pdf(rows)]})
+    names = [c for c in pages.columns if c != "doc"]
 
-    kind = dict(pages.dtypes)["doc"]
-    return pages.groupBy("doc").applyInPandas(build, f"doc {kind}, n_pages int, content binary")
+    def build(rows: list[tuple]) -> list[tuple]:
+        return [(len(rows), pdf([dict(zip(names, r, strict=True)) for r in rows]))]
+
+    small_batches(pages.sparkSession)
+    return fold_groups(pages.select("doc", *names), ["doc"], ["page"], build, "n_pages int, content binary", batch=FILES)
 
 
 def before_sums(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:

@@ -159,3 +159,26 @@ def test_colour_copies(spark):
     own = pdf.Pdf(lambda at, n: data[at : at + n], len(data))
     pictures = [own.content(own.value(page["Resources"]["XObject"]["Im0"])) for _, page in own.pages(0, 9)]
     assert pictures == [b"\x01\0\0", b"\x04\0\0"]
+
+
+def test_the_glyphs_of_a_string_are_placed_at_once(monkeypatch):
+    """The matrices of a string are computed once, however many letters it has; each letter has its place, width and character."""
+    lines = [{"s": b"ab " * 40, "x0": 10.0, "y0": 14.0 * k, "x1": 370.0, "y1": 14.0 * k + 7.86} for k in range(1, 5)]
+    content = writers.pdf([{"page": 0, "w": 600.0, "h": 800.0, "visible": True, "lines": lines}])
+    calls, times = [], pdf.times
+    monkeypatch.setattr(pdf, "times", lambda m, n: calls.append(1) or times(m, n))
+    (page,) = pdf.read_pages("a", lambda at, n: content[at : at + n], len(content))
+    assert page[8] is None and len(calls) <= 4 * 4
+    glyphs = {name: [g[k] for g in page[5]] for k, name in enumerate(["s", "x0", "x1", "y"])}
+    assert "".join(glyphs["s"]) == "ab " * 160
+    assert glyphs["x0"][:120] == pytest.approx([10 + 3 * k for k in range(120)], abs=0.1) and glyphs["x1"][:119] == pytest.approx(glyphs["x0"][1:120])
+    assert {len(v) for v in glyphs.values()} == {480} and len(set(glyphs["y"])) == 4
+
+
+def test_whole_files_of_many_documents(spark):
+    """Pages in order, documents apart, and a file that can't be read among others."""
+    rows = [(d, p, 600.0, 800.0, [(f"{d}-{p}".encode(), 10.0, 20.0, 40.0, 30.0)]) for d in range(50) for p in range(d % 3 + 1)]
+    drawn = spark.createDataFrame(rows, "doc long, page int, w double, h double, lines array<struct<s: binary, x0: double, y0: double, x1: double, y1: double>>")
+    files = writers.pdf_documents(drawn.repartition(3)).withColumn("content", F.when(F.col("doc") == 7, F.lit(b"none")).otherwise(F.col("content")))
+    found = {(int(r["doc"]), r["page"]): "".join(g["s"] for g in r["glyphs"]) if r["error"] is None else None for r in pdf.pdf_pages(files).collect()}
+    assert found == {(d, p): f"{d}-{p}" for d, p, *_ in rows if d != 7} | {(7, None): None}
