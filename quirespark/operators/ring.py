@@ -10,12 +10,13 @@ Pieces are linked twice: to rows, then rows to lines; what a page number or a li
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .boxes import HEAD, RULE, ZONE, clusters, diacritics, in_dotted_rule
+from .boxes import HEAD, RULE, ZONE, clusters, linked
 from .folds import fold_groups
 from .raster import labelled
 
@@ -25,6 +26,8 @@ REACH, CLEAR, NUMBER_HEIGHT, NUMBER_WIDTH, NUMBER_PIECES, NUMBER_GAP = 0.02, 3.0
 LINE_GAP, LINE_LETTERS, LINE_INK, SIGN = 1.0, 3, 0.8, 0.5
 #: White rows between a line and the kept ink: body below the first, headings below the second.
 LINE_CLASSES = (1.25, 4.0)
+#: Pieces that are held against all others of their slot at a time.
+ASKED = 256
 
 
 def grown_sides(cut: list[bool], split: bool, slot: int) -> list[bool]:
@@ -85,29 +88,53 @@ def ring_letters(pieces: DataFrame, block: DataFrame) -> DataFrame:
 def candidates(letters: DataFrame) -> DataFrame:
     """slot, id of the letters on a line that are not, beside the kept box, of a dotted rule."""
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        boxes, letter, height = np.array([r[1:5] for r in rows], float), rows[0][8], rows[0][9]
-        dots = np.array([r[5] >= max(1, letter * letter / 8) for r in rows]) & (boxes[:, 2] - boxes[:, 0] <= 3 * letter)
-        return [(r[0],) for k, r in enumerate(rows) if r[7] and not (r[6] and in_dotted_rule(k, boxes, dots, RULE * height))]
+    dot = _dots().alias("dot")
+    return fold_groups(letters.select("slot", "id", "x0", "y0", "x1", "y1", dot, "beside", "online", F.col("h").cast("double").alias("h")), ["slot"], ["id"], lambda rows: [(i,) for i in undotted(rows)], "id int")
+
+
+def _dots() -> Column:
+    """Whether a piece may be a dot of a dotted rule."""
+    letter = F.col("letter").cast("double")
+    return (F.col("area") >= F.greatest(F.lit(1.0), letter * letter / 8)) & (_sides()[0] <= 3 * letter)
 
-    return fold_groups(letters.select("slot", "id", "x0", "y0", "x1", "y1", "area", "beside", "online", F.col("letter").cast("double").alias("letter"), F.col("h").cast("double").alias("h")), ["slot"], ["id"], fold, "id int")
+
+def undotted(rows: list[tuple]) -> list[int]:
+    """candidates() of one slot: ids of rows id, x0, y0, x1, y1, dot, beside, online, h."""
+    dots = np.array([bool(r[5]) for r in rows])
+    asked = [k for k, r in enumerate(rows) if r[7] and r[6]] if dots.sum() >= 3 else []
+    boxes = np.array([r[1:5] for r in rows], float) if asked else None
+    ruled: set[int] = set()
+    for at in range(0, len(asked), ASKED):
+        of = np.array(asked[at : at + ASKED])
+        column = dots & (boxes[:, 0] < boxes[of, 2][:, None]) & (boxes[:, 2] > boxes[of, 0][:, None])
+        own = np.arange(len(of)), of
+        column[own] = False
+        many = column.sum(axis=1) >= 3
+        column[own] = True
+        high = np.where(column, boxes[:, 3], -np.inf).max(axis=1) - np.where(column, boxes[:, 1], np.inf).min(axis=1)
+        ruled |= set(of[many & (high > RULE * rows[0][8])].tolist())
+    return [r[0] for k, r in enumerate(rows) if r[7] and k not in ruled]
 
 
 def crowded(online: DataFrame) -> DataFrame:
     """slot, root of the clusters that another letter on a line comes nearer than CLEAR. online: slot, id, x0, y0, x1, y1, root (null: of none), letter."""
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        found: set[int] = set()
-        limit = CLEAR * rows[0][6]
-        for n, (_, x0, y0, x1, y1, root, _) in enumerate(rows):
-            for _, u0, v0, u1, v1, other, _ in rows[n + 1 :]:
-                if u0 - x1 >= limit:  # and so are all that begin later
-                    break
-                if other != root and max(u0 - x1, x0 - u1, v0 - y1, y0 - v1, 0) < limit:
-                    found |= {root, other}
-        return [(r,) for r in sorted(found - {None})]
+    placed = online.select("slot", "id", "x0", "y0", "x1", "y1", "root", F.col("letter").cast("double").alias("letter"))
+    return fold_groups(placed, ["slot"], ["x0", "id"], lambda rows: [(r,) for r in approached(rows)], "root int")
 
-    return fold_groups(online.select("slot", "id", "x0", "y0", "x1", "y1", "root", F.col("letter").cast("double").alias("letter")), ["slot"], ["x0", "id"], fold, "root int")
+
+def approached(rows: list[tuple]) -> list[int]:
+    """crowded() of one slot: roots of rows id, x0, y0, x1, y1, root, letter, which are in order of x0."""
+    found: set[int] = set()
+    limit = CLEAR * rows[0][6] if rows else 0
+    for n, (_, x0, y0, x1, y1, root, _) in enumerate(rows):
+        for m in range(n + 1, len(rows)):
+            _, u0, v0, u1, v1, other, _ = rows[m]
+            if u0 - x1 >= limit:  # and so are all that begin later
+                break
+            if other != root and max(u0 - x1, x0 - u1, v0 - y1, y0 - v1, 0) < limit:
+                found |= {root, other}
+    return sorted(found - {None})
 
 
 def page_numbers(letters: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -143,16 +170,94 @@ def clipped_lines(letters: DataFrame, wanted: DataFrame) -> DataFrame:
 def reached(pieces: DataFrame, block: DataFrame) -> DataFrame:
     """slot, id, why (number, line or sign), part (the cluster), x0, y0, x1, y1: the pieces of the ring that the slot takes in."""
     letters = ring_letters(pieces, block)
-    wanted = candidates(letters)
-    own = clusters(letters.join(wanted, ["slot", "id"], "left_semi").withColumn("gap", NUMBER_GAP * F.col("letter")), "gap")
-    box = ["x0", "y0", "x1", "y1"]
-    numbers = letters.join(own, ["slot", "id"]).join(page_numbers(letters, wanted).select("slot", "root"), ["slot", "root"], "left_semi").select("slot", "id", F.lit("number").alias("why"), F.col("root").alias("part"), *box)
-    lines = clipped_lines(letters, wanted)
     wide, tall = _sides()
-    small = letters.where((F.col("area") > 0) & F.col("out") & ~F.col("edge") & (F.greatest(wide, tall) <= 3 * F.col("letter")) & (tall <= SIGN * F.col("letter"))).join(lines.select("slot", "id"), ["slot", "id"], "left_anti").select("slot", "id", *box)
-    signs = diacritics(small, lines, block, SIGN).select("slot", "id", F.lit("sign").alias("why"), F.lit(None).cast("int").alias("part"), *box)
-    every = numbers.unionByName(lines.select("slot", "id", F.lit("line").alias("why"), F.col("line").alias("part"), *box)).unionByName(signs)
-    return every.groupBy("slot", "id").agg(F.min_by(F.struct("why", "part", *box), F.when(F.col("why") == "number", 0).when(F.col("why") == "line", 1).otherwise(2)).alias("r")).select("slot", "id", "r.*")
+    letter = F.col("letter")
+    pool = (F.col("area") > 0) & F.col("out") & ~F.col("edge") & (F.greatest(wide, tall) <= 3 * letter)
+    whole = (F.col("area") >= letter * letter / 8) & (tall >= letter / 2)
+    flags = {"dot": _dots(), "beside": F.col("beside"), "online": F.col("online"), "seed": F.col("seed"), "pool": pool, "whole": whole, "small": pool & (tall <= SIGN * letter)}
+    marked = letters.select("slot", "id", "x0", "y0", "x1", "y1", "area", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items()], letter.cast("double").alias("letter"), F.col("h").cast("double").alias("h"))
+    # All that is asked of a slot is asked where its pieces are: they are dealt once.
+    return fold_groups(marked, ["slot"], ["x0", "id"], taken_in, "id int, why string, part int, x0 int, y0 int, x1 int, y1 int")
+
+
+class Piece(NamedTuple):
+    """A piece of the ring, with what is asked of it alone."""
+
+    id: int
+    x0: int
+    y0: int
+    x1: int
+    y1: int
+    area: int
+    dot: bool
+    beside: bool
+    online: bool
+    seed: bool
+    pool: bool
+    whole: bool
+    small: bool
+    letter: float
+    h: float
+
+
+def _rooted(pieces: list[Piece], gap: float, share: float) -> dict[int, list[Piece]]:
+    """The pieces of each cluster by its root; pieces are in order of x0."""
+    root = dict(linked([(*p[:5], gap) for p in pieces], share))
+    out: dict[int, list[Piece]] = {}
+    for p in pieces:
+        out.setdefault(root[p.id], []).append(p)
+    return out
+
+
+def _numbers(pieces: list[Piece], wanted: set[int]) -> dict[int, int]:
+    """id: root of the pieces of page_numbers() of one slot."""
+    letter = pieces[0].letter
+    own = _rooted([p for p in pieces if p.id in wanted], NUMBER_GAP * letter, 0.5)
+    fits = {
+        root: held for root, held in own.items()
+        if len(held) <= NUMBER_PIECES and any(p.seed for p in held) and NUMBER_HEIGHT[0] <= max(p.y1 - p.y0 for p in held) / letter <= NUMBER_HEIGHT[1] and max(p.x1 for p in held) - min(p.x0 for p in held) >= NUMBER_WIDTH * letter
+    }
+    if not fits:
+        return {}
+    of = {p.id: root for root, held in own.items() for p in held}
+    near = set(approached([(*p[:5], of.get(p.id), letter) for p in pieces if p.online]))
+    return {p.id: root for root, held in fits.items() if root not in near for p in held}
+
+
+def _lines(pieces: list[Piece], wanted: set[int]) -> dict[int, int]:
+    """id: line of the pieces of clipped_lines() of one slot."""
+    rows = _rooted([p for p in pieces if p.pool], LINE_GAP * pieces[0].letter, 0)
+    held = {root: own for root, own in rows.items() if any(p.seed and p.id in wanted for p in own)}
+    bands = [(root, 0, min(p.y0 for p in held[root]), 0, max(p.y1 for p in held[root]), 0.0) for root in sorted(held)]
+    lines: dict[int, list[Piece]] = {}
+    for root, line in linked(bands, 0.5):
+        lines.setdefault(line, []).extend(held[root])
+    good = lambda own: sum(p.whole for p in own) >= LINE_LETTERS and sum(p.area for p in own if p.whole) / sum(p.area for p in own) >= LINE_INK
+    return {p.id: line for line, own in lines.items() if good(own) for p in own}
+
+
+def taken_in(rows: list[tuple]) -> list[tuple]:
+    """reached() of one slot: rows are pieces in order of x0."""
+    pieces = [Piece(*r) for r in rows]
+    wanted = set(undotted([(*p[:5], p.dot, p.beside, p.online, p.h) for p in pieces]))
+    if not wanted:
+        return []  # numbers and lines begin with candidates, signs with lines
+    numbers, lines = _numbers(pieces, wanted), _lines(pieces, wanted)
+    hosts = [p for p in pieces if p.pool and p.id in lines]
+    limit = SIGN * pieces[0].letter
+    over = lambda p: any(k.x0 < p.x1 and p.x0 < k.x1 and max(k.y0 - p.y1, p.y0 - k.y1) <= limit for k in hosts)
+    out: dict[int, tuple] = {}  # pieces that share an id are taken in as one
+    for p in pieces:
+        if p.id in out:
+            continue
+        if p.id in numbers:
+            out[p.id] = (p.id, "number", numbers[p.id], *p[1:5])
+        elif p.id in lines:
+            if p.pool:
+                out[p.id] = (p.id, "line", lines[p.id], *p[1:5])
+        elif p.small and over(p):
+            out[p.id] = (p.id, "sign", None, *p[1:5])
+    return [*out.values()]
 
 
 def reached_boxes(found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirespark.operators import boxes, ring
 from test_layout import BLOCK, PIECES
@@ -144,3 +145,26 @@ def test_kept_pieces_by_loop(spark):
     for r in boxes.kept_pieces(lively).collect():
         got.setdefault(r["slot"], set()).add(r["id"])
     assert got == {s: kept_by_loop(ps, blocks[s][1:]) for s, ps in by_slot.items()}
+
+
+def test_reached_in_one_pass_as_by_its_parts(spark):
+    """The pieces are dealt once, and what is taken in is what the parts say of all slots: numbers, lines, signs, in this order; ids need not be unique."""
+    rng = np.random.default_rng(9)
+    rows = [
+        (slot, int(rng.integers(0, 24)), (x := int(rng.integers(0, 40)) * 9), (y := int(rng.choice([88, 640, 660]) + rng.integers(0, 7))), x + int(rng.integers(3, 12)), y + int(rng.integers(3, 17)), int(rng.integers(0, 60)), *(bool(v) for v in rng.random(3) < (0.8, 0.1, 0.3)))
+        for slot in range(120) for _ in range(rng.integers(1, 30))
+    ]
+    pieces = spark.createDataFrame(rows, "slot int, id int, x0 int, y0 int, x1 int, y1 int, area int, out boolean, edge boolean, seed boolean")
+    block = pieces.select("slot").distinct().selectExpr("slot", "100 ay0", "620 ay1", "50 kx0", "300 kx1", "100 top", "620 bottom", "10D letter", "800 h")
+    found = ring.reached(pieces, block)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {(r["slot"], r["id"]): (r["why"], r["part"]) for r in found.collect()}
+    letters = ring.ring_letters(pieces, block)
+    wanted = ring.candidates(letters)
+    own = boxes.clusters(letters.join(wanted, ["slot", "id"], "left_semi").withColumn("gap", ring.NUMBER_GAP * F.col("letter")), "gap")
+    lines = ring.clipped_lines(letters, wanted)
+    small = letters.where("area > 0 and out and not edge and greatest(x1 - x0, y1 - y0) <= 3 * letter and y1 - y0 <= 0.5 * letter").join(lines, ["slot", "id"], "left_anti")
+    want = {(r["slot"], r["id"]): ("sign", None) for r in boxes.diacritics(small, lines, block, ring.SIGN).collect()}
+    want |= {(r["slot"], r["id"]): ("line", r["line"]) for r in lines.collect()}
+    want |= {(r["slot"], r["id"]): ("number", r["root"]) for r in own.join(ring.page_numbers(letters, wanted), ["slot", "root"], "left_semi").collect()}
+    assert got == want and {why for why, _ in want.values()} == {"number", "line", "sign"}
