@@ -3,8 +3,9 @@
 Unit vectors with cosine >= c lie within eps = sqrt(2 - 2c) of each other. They are turned so that their leading
 principal directions come first, laid on a grid of cells eps wide along those, and sorted by cell, coordinate by
 coordinate. The sorted sequence is cut into blocks. Two blocks can hold a link only if some of their cells are equal
-or neighbours in the first GRID dimensions: an equi-join on cells finds those pairs of blocks, never of vectors. A pair
-of blocks is then joined recursively: intervals of the two sequences are halved, those whose bounding boxes are farther
+or neighbours in the first GRID dimensions: an equi-join on cells finds those pairs of blocks, never of vectors. Blocks are
+dealt to pairs of groups of GROUP neighbouring blocks, in waves whose rows take no more bytes than the blocks themselves (or
+WAVE_BYTES), so disk follows the vectors though the pairs of blocks can grow with their square. A pair of blocks is joined recursively: intervals of the two sequences are halved, those whose bounding boxes are farther
 apart than eps are skipped, and small intervals are compared by one matrix product in double precision.
 
 Equal vectors are collapsed first and count as often as they occur. Of the links within a pair of intervals only the
@@ -22,9 +23,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,9 @@ LEADING = 8
 GRID = 3
 BLOCK = 2_048
 LEAF = 512
+#: A task holds the blocks of two groups at once.
+GROUP = 4
+WAVE_BYTES = 32 << 20
 
 
 def _keyed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -81,7 +87,7 @@ def _leading(unit: np.ndarray, directions: dict[int, np.ndarray]) -> np.ndarray:
 
 
 def _blocks(distinct: DataFrame, shared, eps: float, block: int) -> DataFrame:
-    """The vectors in grid order, as blocks: block, n, keys, copies, data, lo, hi, cells."""
+    """The vectors in grid order, as blocks: block, at (its part of the order), n, keys, copies, data, lo, hi, cells."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,8 +101,8 @@ def _blocks(distinct: DataFrame, shared, eps: float, block: int) -> DataFrame:
     rows = distinct.select("key", "n", "data", "copies").mapInArrow(place, "key string, n int, data binary, copies long, cell array<int>")
     placed = materialize(rows, "placed")
     parts = max(1, -(-placed.count() // block))
-    kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.string())]
-    names = ["block", "n", "keys", "copies", "data", "lo", "hi", "cells"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.string())]
+    names = ["block", "at", "n", "keys", "copies", "data", "lo", "hi", "cells"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -106,7 +112,7 @@ def _blocks(distinct: DataFrame, shared, eps: float, block: int) -> DataFrame:
             held.clear()
             lead = _leading(_unit(list(data)), shared.value)
             cells = sorted({",".join(map(str, [sizes[0], *c[:GRID]])) for c in cell})
-            row = [keys[0], sizes[0], list(keys), list(copies), b"".join(data), lead.min(axis=0).tolist(), lead.max(axis=0).tolist(), cells]
+            row = [keys[0], TaskContext.get().partitionId(), sizes[0], list(keys), list(copies), b"".join(data), lead.min(axis=0).tolist(), lead.max(axis=0).tolist(), cells]
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
@@ -118,7 +124,10 @@ def _blocks(distinct: DataFrame, shared, eps: float, block: int) -> DataFrame:
             yield done()
 
     sorted_rows = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return sorted_rows.mapInArrow(cut, "block string, n int, keys array<string>, copies array<long>, data binary, lo array<double>, hi array<double>, cells array<string>")
+    blocks = sorted_rows.mapInArrow(cut, "block string, at int, n int, keys array<string>, copies array<long>, data binary, lo array<double>, hi array<double>, cells array<string>")
+    blocks = materialize(blocks, "blocks")
+    drop_scratch(placed)
+    return blocks
 
 
 def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
@@ -171,31 +180,57 @@ def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(rows < none, rows, -1), np.where(cols < none, cols, -1)
 
 
-def _join_blocks(pairs: DataFrame, shared, cosine: float, eps: float, leaf: int) -> DataFrame:
-    """From pairs of blocks, rows key, other, links: a link of the forest, or (other null) a count of links."""
+def dealt_blocks(pairs: DataFrame, blocks: DataFrame, group: int) -> DataFrame:
+    """ga, gb, block, others: the blocks that each pair of groups needs, a row each, with the blocks that each is to be joined with there.
+
+    pairs: a, b; blocks: block, at. Blocks of neighbouring parts of the order are a group.
+    """
+    of = lambda s: blocks.select(F.col("block").alias(s), F.expr(f"at div {group}").alias(f"g{s}"))
+    named = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"), "a", "b")
+    first, second = named.select("ga", "gb", F.col("a").alias("block"), F.col("b").alias("other")), named.select("ga", "gb", F.col("b").alias("block"), F.lit(None).cast("string").alias("other"))
+    return first.unionByName(second).groupBy("ga", "gb", "block").agg(F.collect_set("other").alias("others"))  # of two groups
+
+
+def _join_blocks(dealt: DataFrame, shared, cosine: float, eps: float, leaf: int) -> DataFrame:
+    """From rows ga, gb, block, others, n, keys, copies, data in order of ga and gb, rows key, other, links: a link of the forest, or (other null)
+    a count of links."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple] = {}  # blocks of two groups
+        groups = None
+
+        def pair(name_a: str, name_b: str) -> Iterator[pa.RecordBatch]:
+            (_, keys_a, ca, a, lead_a), (_, keys_b, cb, b, lead_b) = held[name_a], held[name_b]
+            na, nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+            edges: set[tuple[str, str]] = set()
+            for a0, b0, links in join_intervals(a, b, lead_a, lead_b, name_a == name_b, cosine, eps, leaf):
+                na[a0 : a0 + links.shape[0]] += links @ cb[b0 : b0 + links.shape[1]]
+                nb[b0 : b0 + links.shape[1]] += ca[a0 : a0 + links.shape[0]] @ links
+                rows, cols = forest(links)
+                edges.update((keys_a[a0 + i], keys_a[a0 + r]) for i, r in enumerate(rows) if r >= 0 and r != i)
+                edges.update((keys_b[b0 + j], keys_a[a0 + r]) for j, r in enumerate(cols) if r >= 0)
+            out = [(keys_a[i], None, int(na[i])) for i in np.flatnonzero(na)] + [(keys_b[j], None, int(nb[j])) for j in np.flatnonzero(nb)] + [(u, v, 0) for u, v in edges]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["key", "other", "links"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for name, (others, *_) in held.items():
+                for other in others:
+                    yield from pair(name, other)
+            held.clear()
+
         for batch in batches:
             for row in range(batch.num_rows):
-                name_a, name_b, n, keys_a, copies_a, data_a, keys_b, copies_b, data_b = (c[row].as_py() for c in batch.columns)
-                same = name_a == name_b
-                a = np.frombuffer(data_a, np.float64).reshape(-1, n)
-                b = np.frombuffer(data_b, np.float64).reshape(-1, n)
-                a, b = (_unit([v.tobytes() for v in x]) for x in (a, b))
-                ca, cb = np.array(copies_a), np.array(copies_b)
-                na, nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-                edges: set[tuple[str, str]] = set()
-                for a0, b0, links in join_intervals(a, b, _leading(a, shared.value), _leading(b, shared.value), same, cosine, eps, leaf):
-                    na[a0 : a0 + links.shape[0]] += links @ cb[b0 : b0 + links.shape[1]]
-                    nb[b0 : b0 + links.shape[1]] += ca[a0 : a0 + links.shape[0]] @ links
-                    rows, cols = forest(links)
-                    edges.update((keys_a[a0 + i], keys_a[a0 + r]) for i, r in enumerate(rows) if r >= 0 and r != i)
-                    edges.update((keys_b[b0 + j], keys_a[a0 + r]) for j, r in enumerate(cols) if r >= 0)
-                out = [(keys_a[i], None, int(na[i])) for i in np.flatnonzero(na)] + [(keys_b[j], None, int(nb[j])) for j in np.flatnonzero(nb)] + [(u, v, 0) for u, v in edges]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["key", "other", "links"])
-
-    return pairs.mapInArrow(join, "key string, other string, links long")
+                ga, gb, block, others, n, keys, copies, data = (c[row].as_py() for c in batch.columns)
+                if (ga, gb) != groups:
+                    yield from done()
+                    groups = ga, gb
+                x = np.frombuffer(data, np.float64).reshape(-1, n)
+                unit = _unit([v.tobytes() for v in x])
+                held[block] = others, keys, np.array(copies), unit, _leading(unit, shared.value)
+        yield from done()
+
+    return dealt.mapInArrow(join, "key string, other string, links long")
 
 
 def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
@@ -205,20 +240,32 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     eps = math.sqrt(2 - 2 * cosine)
     rows = materialize(_keyed(vectors, id_col, vector_col), "vectors")
     distinct = materialize(rows.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("data").alias("data"), F.count("*").alias("copies"), F.min("id").alias("least")), "distinct")
+    ids = materialize(rows.select("id", "key"), "vector-ids")
+    drop_scratch(rows)
     shared = spark.sparkContext.broadcast(principal_directions(distinct))
-    blocks = materialize(_blocks(distinct, shared, eps, block), "blocks")
-    side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("keys", "copies", "data")])
-    pairs = block_pairs(blocks, eps).join(blocks.select(F.col("block").alias("a"), "n"), "a").join(side("a"), "a").join(side("b"), "b")
+    blocks = _blocks(distinct, shared, eps, block)
+    classes = materialize(distinct.select("key", "copies", "least"), "vector-keys")
+    drop_scratch(distinct)
+    weighed = blocks.select("block", "at", (F.length("data") + 40 * F.size("keys")).alias("bytes"))
+    dealt = materialize(dealt_blocks(block_pairs(blocks, eps), weighed, GROUP), "dealt")
+    whole = weighed.agg(F.sum("bytes")).first()[0] or 0
+    waves = math.ceil((dealt.join(weighed, "block").agg(F.sum("bytes")).first()[0] or 0) / max(WAVE_BYTES, whole))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.select("a", "b", "n", "keys_a", "copies_a", "data_a", "keys_b", "copies_b", "data_b").repartition(parts, "a", "b")
-    found = materialize(_join_blocks(pairs, shared, cosine, eps, leaf), "vector-links")
-    drop_scratch(blocks)
+    found = []
+    for wave in range(max(1, waves)):
+        # The pairs of any one group are spread over all waves.
+        own = dealt.where((F.col("ga") + F.col("gb")) % max(1, waves) == wave).join(blocks.drop("at", "lo", "hi", "cells"), "block")
+        own = own.select("ga", "gb", "block", "others", "n", "keys", "copies", "data").repartition(parts, "ga", "gb").sortWithinPartitions("ga", "gb")
+        found.append(materialize(_join_blocks(own, shared, cosine, eps, leaf), "vector-links"))
+    for part in (blocks, dealt):
+        drop_scratch(part)
+    each, found = found, reduce(DataFrame.unionByName, found)
     counts = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("other is not null"), "key", "other")
-    nodes = distinct.select("key", "copies", "least").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    nodes = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     of_key = materialize(smallest_member(nodes, "least").join(counts, "key", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("least_least").alias("component_id")), "vector-classes")
-    for part in (found, distinct):
+    for part in (*each, classes):
         drop_scratch(part)
-    linked = rows.where("key is not null").select("id", "key").join(of_key, "key").select("id", "n_links", "component_id")
-    alone = rows.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    linked = ids.where("key is not null").join(of_key, "key").select("id", "n_links", "component_id")
+    alone = ids.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -51,3 +51,26 @@ def test_forest_connects_what_links_connect():
 
 def test_empty(spark):
     assert egojoin.similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_in_waves(spark, monkeypatch):
+    """Blocks dealt in many waves, none with many more bytes than the blocks have, give the links of all pairs."""
+    monkeypatch.setattr(egojoin, "WAVE_BYTES", 1)
+    monkeypatch.setattr(egojoin, "GROUP", 2)
+    joined = []
+    monkeypatch.setattr(egojoin, "_join_blocks", lambda dealt, *rest, plain=egojoin._join_blocks: joined.append(dealt.count()) or plain(dealt, *rest))
+    random = np.random.default_rng(3)
+    centres = random.normal(size=(9, 16))
+    rows = [(i, (centres[i % 9] + random.normal(size=16) * random.choice([0.1, 0.3])).astype(np.float32).tolist()) for i in range(400)]
+    found = egojoin.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=16, leaf=8).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in found), key=repr) == brute(rows, 0.95)
+    assert len(joined) >= 4 and max(joined) <= 2.5 * sum(joined) / len(joined)
+
+
+def test_blocks_of_two_groups_are_dealt_once(spark):
+    names = "abcdefgh"
+    pairs = [(x, y) for k, x in enumerate(names) for y in names[k:] if (x, y) != ("a", "h")]
+    blocks = spark.createDataFrame([(x, 7 - k) for k, x in enumerate(names)], "block string, at int")
+    found = egojoin.dealt_blocks(spark.createDataFrame(pairs, "a string, b string"), blocks, 4).collect()
+    assert sorted((r["block"], y) for r in found for y in r["others"]) == sorted(pairs)
+    assert len(found) == 16 and {(r["ga"], r["gb"]) for r in found} == {(0, 0), (0, 1), (1, 1)}
