@@ -132,8 +132,10 @@ WINANSI = {"\u2018": 0x91, "\u2019": 0x92, "\u201c": 0x93, "\u201d": 0x94, "\u20
 def winansi(text: Column) -> Column:
     """struct<bytes, skipped>: the text in the fonts' one-byte encoding, and how many characters it does not have."""
     known = "".join(WINANSI)
-    kept = F.regexp_replace(text, f"[^\\x20-\\x7e\\xa0-\\xff{known}]", "")
-    moved = F.translate(kept, known, "".join(map(chr, WINANSI.values())))
+    # Most lines have only what both encodings have at the same place, which one class of two ranges tells soonest.
+    other = F.coalesce(text.rlike(r"[^\x20-\x7e\xa0-\xff]"), F.lit(True))
+    kept = F.when(other, F.regexp_replace(text, f"[^\\x20-\\x7e\\xa0-\\xff{known}]", "")).otherwise(text)
+    moved = F.when(other, F.translate(kept, known, "".join(map(chr, WINANSI.values())))).otherwise(text)
     return F.struct(F.encode(moved, "ISO-8859-1").alias("bytes"), (F.char_length(text) - F.char_length(kept)).alias("skipped"))
 
 

@@ -388,7 +388,7 @@ def pdf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = lines.groupBy("doc", F.expr("int(line div 50)").alias("page")).agg(F.array_sort(F.collect_list(drawn)).alias("own"))  # of fifty lines
     shown = F.transform("own", lambda r: F.struct(*[r[c].alias(c) for c in ("s", "x0", "y0", "x1", "y1")]))
     files = writers.pdf_documents(pages.select("doc", "page", F.lit(600.0).alias("w"), F.lit(800.0).alias("h"), F.lit(True).alias("visible"), shown.alias("lines")))
-    found = pdf.pdf_pages(files).select("doc", "page", "n_pages", F.size("glyphs").alias("n"), F.array_join(F.transform("glyphs", lambda g: g["s"]), "").alias("t"))
+    found = pdf.pdf_pages(files).select("doc", "page", "n_pages", F.size("glyphs").alias("n"), F.array_join(F.col("glyphs.s"), "").alias("t"))
     whole = found.groupBy("doc").agg(F.max("n_pages").alias("n_pages"), F.sum("n").cast("long").alias("n_glyphs"), F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"))  # of one document
     return whole.select("doc", "n_pages", "n_glyphs", F.md5(F.array_join(F.transform("p", lambda p: p["t"]), "")).alias("text_md5"))
 

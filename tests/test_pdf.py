@@ -6,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from quirespark.functions import text
 from quirespark.sources import pdf, readers, writers
 
 
@@ -182,3 +183,26 @@ def test_whole_files_of_many_documents(spark):
     files = writers.pdf_documents(drawn.repartition(3)).withColumn("content", F.when(F.col("doc") == 7, F.lit(b"none")).otherwise(F.col("content")))
     found = {(int(r["doc"]), r["page"]): "".join(g["s"] for g in r["glyphs"]) if r["error"] is None else None for r in pdf.pdf_pages(files).collect()}
     assert found == {(d, p): f"{d}-{p}" for d, p, *_ in rows if d != 7} | {(7, None): None}
+
+
+def test_glyphs_of_a_string_are_arrays():
+    """A page keeps an entry for each string, not for each glyph; their places are those of sums glyph by glyph."""
+    line = lambda s, y: {"s": s, "x0": 10.0, "y0": y, "x1": 90.0, "y1": y + 7.86}
+    content = writers.pdf([{"w": 600.0, "h": 800.0, "visible": True, "lines": [line(b"a (b) \\ c" * 30, 20.0), line(b"\xe9\x80", 40.0)]}])
+    read = lambda at, n: content[at : at + n]
+    (row,) = pdf._read_pages("d", read, len(content))
+    assert [len(s.codes) for s in row[5]] == [270, 2]
+    (page,) = pdf.read_pages("d", read, len(content))
+    assert "".join(g[0] for g in page[5]) == "a (b) \\ c" * 30 + "é€"
+    size, stretch = 10.0, round(100 * 80 / (0.6 * 10.0 * 270), 2) * 0.01
+    x = 10.0
+    for s, x0, x1, *_ in page[5][:270]:
+        assert x0 == x and abs(x1 - x0 - 0.6 * size * stretch) < 1e-9
+        x += 0.6 * size * stretch
+
+
+def test_winansi_of_plain_and_odd_lines(spark):
+    rows = ["plain", "caf\u00e9 \u00ff", "\u2018q\u2019 \u2022\u20ac", "\u4e00a\u0100", "\x80\x9f\t", "", None]
+    found = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").select("k", text.winansi(F.col("t")).alias("w")).orderBy("k").collect()
+    want = [(b"plain", 0), (b"caf\xe9 \xff", 0), (b"\x91q\x92 \x95\x80", 0), (b"a", 2), (b"", 3), (b"", 0), (None, None)]
+    assert [(r["w"]["bytes"], r["w"]["skipped"]) for r in found] == want
