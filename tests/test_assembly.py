@@ -4,8 +4,10 @@ import random
 from itertools import groupby
 
 import pytest
+from pyspark.sql import functions as F
 
-from quirespark.operators import assembly, reading
+from quirespark.functions import text as T
+from quirespark.operators import assembly, glyphs as G, reading
 from test_layout import sections_by_loop
 
 FRAGS = "doc string, page int, id long, x0 double, x1 double, base double, size double, bold boolean, text string"
@@ -187,3 +189,23 @@ def test_queries(spark, name):
 
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert found and all(r["n_chars"] > 0 for r in found)
+
+
+def test_only_edge_fragments_are_tested(spark):
+    """Header tests and numbers are those of all fragments, but told of the edge alone."""
+    random.seed(31)
+    rows = [("d", p, k, x := random.choice([40.0, 300.0]), x + 100, float(random.randint(1, 80) * 10), 10.0, f"Page {k}", 800.0) for p in range(6) for k in range(40)]
+    sized = spark.createDataFrame(rows, "doc string, page int, id long, x0 double, x1 double, base double, size double, text string, h double")
+    found = assembly.tested_fragments(sized).collect()
+    upper = sized.withColumn("upper_half", F.col("base") - 7 < 400)
+    want = {(r["page"], r["id"]): (r["outer"], r["clear"], r["alone"]) for r in G.header_tests(upper, ["doc", "page"], "id").collect()}
+    edge = {(r[1], r[2]) for r in rows if r[5] + 2 < 96 or r[5] - 7 > 704}
+    assert {(r["page"], r["id"]): (r["outer"], r["clear"], r["alone"]) for r in found} == {k: want[k] for k in edge} and 0 < len(edge) < len(rows)
+    assert all(r["number"] == r["id"] and r["numbers"] == [r["id"]] for r in found)
+
+
+def test_lines_are_joined_by_their_ends(spark):
+    """A hyphen tells at the end of what is held, also before a line's end; what stands before does not matter."""
+    rows = [(["a-", "b"], "ab"), (["a-", "B"], "a- B"), (["a-\n", "b"], "a-b"), (["a-\r\n", "b"], "a-\rb"), (["-", "b"], "- b"), (["", "x\u00ad", "y"], "xy"), (["a" * 5000 + "-", "b-", "c"], "a" * 5000 + "bc"), ([], "")]
+    found = spark.createDataFrame(rows, "l array<string>, want string").select("want", T.join_lines(F.col("l")).alias("t")).collect()
+    assert all(r["t"] == r["want"] for r in found)
